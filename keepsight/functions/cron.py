@@ -26,14 +26,14 @@ def cron_fields(expression: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(expression, r"\s+", " ")), " ")
 
 
-def _item_values(item: Column, low: int, high: int) -> Column:
+def _item_values(item: Column, low: Column, high: Column) -> Column:
+    """Values of one list item, or null when it is not valid."""
     first = F.regexp_extract(item, _ITEM, 2).try_cast("int")
     last = F.regexp_extract(item, _ITEM, 3).try_cast("int")
-    step_text = F.regexp_extract(item, _ITEM, 4)
-    step = step_text.try_cast("int")
-    start = F.coalesce(first, F.lit(low))
-    # a lone number with a step runs to the end of the field
-    stop = F.coalesce(last, F.when(first.isNull() | step.isNotNull(), F.lit(high)), first)
+    step = F.regexp_extract(item, _ITEM, 4).try_cast("int")
+    start = F.coalesce(first, low)
+    # a lone number stands for itself, or with a step runs to the end of the field
+    stop = F.coalesce(last, F.when(first.isNull() | step.isNotNull(), high), first)
     valid = (
         item.rlike(_ITEM)
         & (start >= low)
@@ -41,36 +41,41 @@ def _item_values(item: Column, low: int, high: int) -> Column:
         & (start <= stop)
         & (F.coalesce(step, F.lit(1)) >= 1)
     )
-    return F.when(
-        valid,
-        F.filter(
-            F.sequence(F.lit(low), F.lit(high)),
-            lambda v: (v >= start)
-            & (v <= stop)
-            & (F.pmod(v - start, F.greatest(F.coalesce(step, F.lit(1)), F.lit(1))) == 0),
-        ),
-    )
+    return F.when(valid, F.sequence(start, stop, F.coalesce(step, F.lit(1))))
+
+
+def cron_values(expression: Column) -> Column:
+    """``array<array<int>>``: the values each field allows, in the order of ``FIELD_BOUNDS``.
 
+    A field that is not valid is null. Sunday is always 0.
+    """
+    lows = F.array(*[F.lit(low) for low, _ in FIELD_BOUNDS.values()])
+    highs = F.array(*[F.lit(high) for _, high in FIELD_BOUNDS.values()])
 
-def field_values(field: Column, name: str) -> Column:
-    """Sorted values a field allows, or null when the field is not valid."""
-    low, high = FIELD_BOUNDS[name]
-    items = F.transform(F.split(field, ","), lambda item: _item_values(item, low, high))
-    values = F.flatten(F.filter(items, lambda a: a.isNotNull()))
-    if name == "weekday":
-        values = F.transform(values, lambda v: F.pmod(v, F.lit(7)))
-    broken = F.exists(items, lambda a: a.isNull())
-    return F.when(field.isNotNull() & ~broken, F.array_sort(F.array_distinct(values)))
+    def one(field: Column, i: Column) -> Column:
+        items = F.transform(
+            F.split(field, ","), lambda item: _item_values(item, F.get(lows, i), F.get(highs, i))
+        )
+        # flatten gives null when any item is null
+        values = F.flatten(items)
+        return F.array_distinct(
+            F.transform(values, lambda v: F.when((i == 4) & (v == 7), F.lit(0)).otherwise(v))
+        )
 
+    return F.transform(F.slice(cron_fields(expression), 1, 5), one)
 
-def cron_error(expression: Column) -> Column:
-    """Reason an expression is refused, or null."""
+
+def cron_error(expression: Column, values: Column | None = None) -> Column:
+    """Reason an expression is refused, or null; ``values`` if already worked out."""
     fields = cron_fields(expression)
-    chain = F.when(expression.isNull(), F.lit("field_count")).when(
-        F.size(fields) != 5, F.lit("field_count")
+    values = cron_values(expression) if values is None else values
+    names = F.array(*[F.lit(f"bad_{name}") for name in FIELD_BOUNDS])
+    bad = F.array_compact(
+        F.transform(values, lambda v, i: F.when(v.isNull(), F.get(names, i)))
     )
-    for index, name in enumerate(FIELD_BOUNDS):
-        bad = field_values(F.get(fields, F.lit(index)), name).isNull()
-        chain = chain.when(bad, F.lit(f"bad_{name}"))
     both = ~F.get(fields, F.lit(2)).startswith("*") & ~F.get(fields, F.lit(4)).startswith("*")
-    return chain.when(both, F.lit("day_and_weekday"))
+    return (
+        F.when(expression.isNull() | (F.size(fields) != 5), F.lit("field_count"))
+        .when(F.size(bad) > 0, F.get(bad, F.lit(0)))
+        .when(both, F.lit("day_and_weekday"))
+    )

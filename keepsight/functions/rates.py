@@ -15,10 +15,20 @@ BYTES_PER_MIB = 1024**2
 SECONDS_PER_DAY = 86_400
 
 
+def printed(value: Column, places: int) -> Column:
+    """A figure as it would be printed with that many places.
+
+    ``round`` works on a double's shortest decimal text and takes 0.575 to 0.58;
+    printing works on the exact value, which lies below the tie, and gives 0.57.
+    """
+    pattern = "0." + "0" * places
+    return F.call_function("format_number", value, F.lit(pattern)).try_cast("double")
+
+
 def mb_per_second(num_bytes: Column, seconds: Column) -> Column:
     """Decimal MB/s to two places; null when no whole second has passed."""
     return F.when(
-        seconds > 0, F.round(num_bytes.cast("double") / seconds / F.lit(BYTES_PER_MB), 2)
+        seconds > 0, printed(num_bytes.cast("double") / seconds / F.lit(BYTES_PER_MB), 2)
     )
 
 
@@ -37,7 +47,7 @@ def seed_days(num_bytes: Column, mb_s: Column) -> Column:
     """Days to move ``num_bytes`` at ``mb_s``, one place; null for a rate of zero."""
     return F.when(
         mb_s > 0,
-        F.round(
+        printed(
             num_bytes.cast("double") / (mb_s * F.lit(BYTES_PER_MB)) / F.lit(SECONDS_PER_DAY), 1
         ),
     )
