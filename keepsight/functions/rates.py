@@ -15,14 +15,27 @@ BYTES_PER_MIB = 1024**2
 SECONDS_PER_DAY = 86_400
 
 
+_SPLIT = float(2**27 + 1)
+
+
 def printed(value: Column, places: int) -> Column:
-    """A figure as it would be printed with that many places.
+    """A figure as C prints it with that many places: rounded on its exact value.
 
     ``round`` works on a double's shortest decimal text and takes 0.575 to 0.58;
-    printing works on the exact value, which lies below the tie, and gives 0.57.
+    the double lies below that tie, and prints as 0.57. Here the scaled value and
+    its rounding error are both kept, so ties are judged exactly; a true tie goes
+    to the even digit. For magnitudes up to about 1e15.
     """
-    pattern = "0." + "0" * places
-    return F.call_function("format_number", value, F.lit(pattern)).try_cast("double")
+    scale = float(10**places)
+    magnitude = F.abs(value)
+    scaled = magnitude * F.lit(scale)
+    shifted = magnitude * F.lit(_SPLIT)
+    high = shifted - (shifted - magnitude)
+    error = (high * F.lit(scale) - scaled) + (magnitude - high) * F.lit(scale)
+    whole = F.floor(scaled).cast("double")
+    over = scaled - whole - F.lit(0.5)
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    return F.signum(value) * (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
 
 
 def mb_per_second(num_bytes: Column, seconds: Column) -> Column:

@@ -1 +1,191 @@
-"""Registered queries."""
+"""Stream operators over the tables read as file streams, drained into parquet."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keepsight.plans import tables as t
+from keepsight.plans.files import _written_log
+from keepsight.plans.history import _EXPECTED, _expected
+from keepsight.plans.registry import query
+from keepsight.plans.texts import shapes_sql
+from keepsight.sources.shared import shared_path
+from keepsight.streaming import stateful, windows
+
+HOUR_MS = 3_600_000
+
+
+def stream_of(spark, sf_dir, name):
+    """A driver table as a stream of files."""
+    schema = t.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def drained(stream, name):
+    """Run a stream over everything there is, then read what it wrote."""
+    spark = stream.sparkSession
+    base = shared_path(spark, name)
+    run = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _readings(spark, sf_dir):
+    return stream_of(spark, sf_dir, "events").select(
+        F.col("user_id").alias("source"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        t.bytes_of().alias("bytes"),
+        "event_type",
+    )
+
+
+def _naive(df, *cols):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
+
+
+@query(
+    "stream_event_log",
+    t.with_tables(
+        "log_lines",
+        body="""SELECT run_id AS run, line_no AS line, message_type FROM log_lines WHERE readable
+                UNION ALL SELECT NULL, NULL, NULL FROM log_lines WHERE NOT readable""",
+    ),
+)
+def stream_event_log(spark, sf_dir):
+    parsed = windows.stream_event_log(spark, _written_log(spark, sf_dir))
+    base = shared_path(spark, "stream_event_log")
+    windows.write_event_log(parsed, base).awaitTermination()
+    kept = spark.read.schema("run_id string, event string").parquet(f"{base}/events")
+    lost = spark.read.schema("run_id string, raw string").parquet(f"{base}/rejects")
+    event = F.try_parse_json("event")
+    typed = kept.select(
+        F.try_variant_get(event, "$.run", "bigint").alias("run"),
+        F.try_variant_get(event, "$.line", "bigint").alias("line"),
+        F.try_variant_get(event, "$.message_type", "string").alias("message_type"),
+    )
+    return typed.unionByName(lost.select(F.lit(None).cast("bigint").alias("run")), allowMissingColumns=True)
+
+
+_LAST = "(SELECT max(ts) FROM events)"
+
+
+def _windows_sql(width: str, starts: str) -> str:
+    return f"""SELECT user_id AS source, w AS window_start, w + INTERVAL {width} AS window_end, count(*) AS events,
+        CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) AS bytes,
+        CAST(printf('%.4f', sum(CAST(round(value * 1000000) AS BIGINT)) / epoch(INTERVAL {width}) / 1000000) AS DOUBLE) AS mb_s
+      FROM (SELECT *, unnest({starts}) AS w FROM events)
+      WHERE w + INTERVAL {width} <= {_LAST} - INTERVAL 10 MINUTE GROUP BY user_id, w"""
+
+
+@query("stream_throughput", _windows_sql("6 HOUR", "[time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')]"))
+def stream_throughput(spark, sf_dir):
+    out = windows.stream_throughput(_readings(spark, sf_dir), "6 hours")
+    return _naive(drained(out, "stream_throughput"), "window_start", "window_end")
+
+
+@query(
+    "stream_throughput_sliding",
+    _windows_sql(
+        "12 HOUR",
+        "[time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), "
+        "time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOUR]",
+    ),
+)
+def stream_throughput_sliding(spark, sf_dir):
+    out = windows.stream_throughput(_readings(spark, sf_dir), "12 hours", "6 hours")
+    return _naive(drained(out, "stream_throughput_sliding"), "window_start", "window_end")
+
+
+@query(
+    "stream_sessions",
+    f"""WITH e AS (SELECT user_id AS source, ts, CAST(round(value * 1000000) AS BIGINT) AS bytes,
+            CASE WHEN ts - lag(ts) OVER w < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS first
+          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT *, sum(first) OVER (PARTITION BY source ORDER BY ts) AS n FROM e)
+        SELECT source, min(ts) AS started_at, max(ts) AS finished_at,
+          CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS duration_s,
+          count(*) AS events, CAST(sum(bytes) AS BIGINT) AS bytes
+        FROM s GROUP BY source, n HAVING max(ts) + INTERVAL 8 HOUR <= {_LAST} - INTERVAL 10 MINUTE""",
+)
+def stream_sessions(spark, sf_dir):
+    out = windows.stream_sessions(_readings(spark, sf_dir), "8 hours")
+    return _naive(drained(out, "stream_sessions"), "started_at", "finished_at")
+
+
+@query("stream_suppress_duplicates", "SELECT DISTINCT user_id AS source, event_type AS message FROM events")
+def stream_suppress_duplicates(spark, sf_dir):
+    """One batch of the table: every message repeats inside the watermark delay."""
+    messages = _readings(spark, sf_dir).select(
+        "source", F.col("event_type").alias("message"), "ts"
+    )
+    out = windows.stream_suppress_duplicates(messages, delay="31 days")
+    return drained(out, "stream_suppress").select("source", "message")
+
+
+@query(
+    "stream_silence_alert",
+    f"""WITH s AS (SELECT user_id AS source, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt
+          FROM events WHERE event_type NOT IN ('error', 'signup'))
+        SELECT source, 'silent' AS alert, ts + INTERVAL 72 HOUR AS "at" FROM s
+        WHERE nxt - ts > INTERVAL 72 HOUR
+          OR (nxt IS NULL AND ts + INTERVAL 72 HOUR < {_LAST} - INTERVAL 1 HOUR)
+        UNION ALL SELECT source, 'recovered', nxt FROM s WHERE nxt - ts > INTERVAL 72 HOUR""",
+)
+def stream_silence_alert(spark, sf_dir):
+    stateful.use_rocksdb(spark)
+    runs = _readings(spark, sf_dir).select(
+        "source", "ts", t.case_of(F.col("event_type"), t.STATUS, "success").alias("status")
+    )
+    out = stateful.stream_silence_alert(runs, 72 * HOUR_MS)
+    return _naive(drained(out, "stream_silence"), "at")
+
+
+@query(
+    "stream_cursor",
+    t.with_tables(
+        "verify_runs",
+        last="SELECT repo, shard, max(ts) AS last_ok FROM verify_runs WHERE ok GROUP BY repo, shard",
+        body="""SELECT repo, count(*) AS verified,
+                  CASE WHEN count(*) = 8 THEN min(last_ok) END AS full_since
+                FROM last GROUP BY repo""",
+    ),
+)
+def stream_cursor(spark, sf_dir):
+    stateful.use_rocksdb(spark)
+    runs = stream_of(spark, sf_dir, "events").select(
+        F.col("user_id").alias("repo"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        (~F.col("event_type").isin("error", "signup")).alias("ok"),
+        (F.pmod(t.k_of(), F.lit(8)) + 1).cast("int").alias("shard"),
+    )
+    return _naive(drained(stateful.stream_cursor(runs, 8), "stream_cursor"), "full_since")
+
+
+@query("stream_redact", f"SELECT doc_id, {shapes_sql('text')} AS text FROM documents")
+def stream_redact(spark, sf_dir):
+    docs = stream_of(spark, sf_dir, "documents").select("doc_id", "text")
+    return drained(windows.stream_redact(docs, ["text"]), "stream_redact")
+
+
+@query(
+    "stream_interval_match",
+    f"""WITH {_EXPECTED}, bounds AS (SELECT least(max(e.fire_at), (SELECT max(ts) FROM events)) AS top FROM expected e)
+        SELECT job, fire_at FROM expected e, bounds WHERE NOT EXISTS (
+          SELECT 1 FROM events r WHERE r.user_id = e.job AND r.ts BETWEEN e.fire_at AND e.fire_at + INTERVAL 600 MINUTE)
+        AND e.fire_at + INTERVAL 600 MINUTE < top - INTERVAL 10 MINUTE""",
+)
+def stream_interval_match(spark, sf_dir):
+    path = shared_path(spark, "firings")
+    _expected(spark, sf_dir).write.parquet(path)
+    firings = spark.readStream.schema("job bigint, fire_at timestamp").parquet(path)
+    runs = _readings(spark, sf_dir).select(
+        F.col("source").alias("job"), F.col("ts").alias("started_at")
+    )
+    out = windows.stream_interval_match(firings, runs, "600 minutes")
+    return _naive(drained(out, "stream_interval_match"), "fire_at")

@@ -24,48 +24,52 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(_STATE_STORE, _ROCKSDB)
 
 
-def _millis(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[ms]").astype("int64")
+def _micros(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[us]").astype("int64")
 
 
 class _Silence(StatefulProcessor):
-    """Remembers the last success of a source and one timer for it."""
+    """Remembers the last success of a source and one timer for it. Times in microseconds."""
 
     def __init__(self, max_age_ms: int) -> None:
-        self.max_age_ms = max_age_ms
+        self.max_age = max_age_ms * 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last_success_ms", _LONG)
+        self.last = handle.getValueState("last_success_us", _LONG)
+
+    def _timer(self, seen: int) -> int:
+        """Timers count whole milliseconds; never early."""
+        return -(-(seen + self.max_age) // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen = self.last.get()[0] if self.last.exists() else None
         timers = list(self.handle.listTimers())
         # the timer of the remembered success is gone once its alert went out
-        alerted = seen is not None and seen + self.max_age_ms not in timers
+        alerted = seen is not None and self._timer(seen) not in timers
         spans = sorted(
             span
             for batch in rows
-            for span in zip(_millis(batch["first_at"]), _millis(batch["last_at"]))
+            for span in zip(_micros(batch["first_at"]), _micros(batch["last_at"]))
         )
         out = []
         for first, last in spans:
-            if seen is not None and first - seen > self.max_age_ms:
+            if seen is not None and first - seen > self.max_age:
                 if not alerted:
-                    out.append((key[0], "silent", seen + self.max_age_ms))
+                    out.append((key[0], "silent", seen + self.max_age))
                 out.append((key[0], "recovered", first))
             if seen is None or last > seen:
-                seen, alerted = last, False
+                seen, alerted = int(last), False
         if spans:
             for timer in timers:
                 self.handle.deleteTimer(timer)
-            self.last.update((int(seen),))
+            self.last.update((seen,))
             if not alerted:
-                self.handle.registerTimer(int(seen) + self.max_age_ms)
+                self.handle.registerTimer(self._timer(seen))
         yield _alerts(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield _alerts([(key[0], "silent", expiredTimerInfo.get_expiry_time_in_ms())])
+        yield _alerts([(key[0], "silent", self.last.get()[0] + self.max_age)])
 
     def close(self) -> None:
         pass
@@ -73,7 +77,7 @@ class _Silence(StatefulProcessor):
 
 def _alerts(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["source", "alert", "at"])
-    out["at"] = pd.to_datetime(out["at"], unit="ms")
+    out["at"] = pd.to_datetime(out["at"], unit="us")
     return out
 
 
@@ -111,12 +115,12 @@ class _Coverage(StatefulProcessor):
         self.shards = shards
 
     def init(self, handle) -> None:
-        self.passed = handle.getMapState("last_ok_ms", _SHARD, _LONG)
+        self.passed = handle.getMapState("last_ok_us", _SHARD, _LONG)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             good = batch[batch["ok"]]
-            newest = _millis(good["ts"]).groupby(good["shard"]).max()
+            newest = _micros(good["ts"]).groupby(good["shard"]).max()
             for shard, at in newest.items():
                 at_key = (int(shard),)
                 old = self.passed.getValue(at_key)[0] if self.passed.containsKey(at_key) else None
@@ -127,7 +131,7 @@ class _Coverage(StatefulProcessor):
             {
                 "repo": [key[0]],
                 "verified": [len(times)],
-                "full_since": pd.to_datetime([min(times) if full else None], unit="ms"),
+                "full_since": pd.to_datetime([min(times) if full else None], unit="us"),
             }
         )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from keepsight.functions.rates import BYTES_PER_MB, printed
 from keepsight.functions.redaction import redact_known, redact_shapes, usable_secrets
 from keepsight.sources.readers import file_stem, parse_event_lines
 
@@ -72,7 +73,7 @@ def stream_throughput(
             F.col("window.end").alias("window_end"),
             "events",
             "bytes",
-            F.round(F.col("bytes") / seconds / 1_000_000, 4).alias("mb_s"),
+            printed(F.col("bytes") / seconds / BYTES_PER_MB, 4).alias("mb_s"),
         )
     )
 
