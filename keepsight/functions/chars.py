@@ -6,6 +6,8 @@ differently. Every pattern in this package uses these classes instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +29,8 @@ WORD_START = f"(?<![{WORD}])"
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only U+0020 as ``trim`` does."""
     return F.regexp_replace(text, rf"\A{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

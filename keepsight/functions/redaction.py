@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keepsight.functions.chars import BOUNDARY, NON_SPACE_CLASS, SPACE_CLASS, WORD, WORD_START
+from keepsight.functions.chars import (
+    BOUNDARY,
+    NON_SPACE_CLASS,
+    SPACE_CLASS,
+    WORD,
+    WORD_START,
+    let,
+)
 
 # The marker, the shortest value redacted by exact match, and the
 # three credential shapes.
@@ -58,11 +65,16 @@ def redact_shapes(text: Column) -> Column:
     A row without ``=`` or ``@`` cannot match, so the regexes run only where
     they might fire.
     """
-    assigned = F.regexp_replace(
-        F.regexp_replace(text, ASSIGNMENT, f"$1 = {MARKER}"), ENVIRONMENT, f"$1={MARKER}"
-    )
-    text = F.when(text.contains("="), assigned).otherwise(text)
-    return F.when(text.contains("@"), F.regexp_replace(text, EMAIL, MARKER)).otherwise(text)
+
+    def assignments(t: Column) -> Column:
+        named = F.regexp_replace(t, ASSIGNMENT, f"$1 = {MARKER}")
+        return F.regexp_replace(named, ENVIRONMENT, f"$1={MARKER}")
+
+    def addresses(t: Column) -> Column:
+        return F.when(t.contains("@"), F.regexp_replace(t, EMAIL, MARKER)).otherwise(t)
+
+    assigned = F.when(text.contains("="), assignments(text)).otherwise(text)
+    return let(assigned, addresses)
 
 
 def marker_count(text: Column) -> Column:

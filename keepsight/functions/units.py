@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keepsight.functions.chars import SPACE_CLASS, strip
+from keepsight.functions.chars import SPACE_CLASS, let, strip
 
 # Unit letters and what they multiply by.
 SIZE_UNITS = {
@@ -50,20 +50,23 @@ def parse_size(text: Column) -> Column:
     Reasons: ``empty``, ``malformed``, ``ambiguous_decimal``, ``unknown_suffix``,
     ``out_of_range``.
     """
-    raw = F.coalesce(strip(text), F.lit(""))
-    amount = F.regexp_extract(raw, _QUANTITY, 1).try_cast("double")
-    suffix = F.lower(F.regexp_extract(raw, _QUANTITY, 2))
-    unit = F.when(suffix == "", F.lit("b")).otherwise(
-        F.regexp_replace(suffix, r"ib\z", "")
-    )
-    factor = F.try_element_at(_unit_map(SIZE_UNITS), unit)
-    reason = (
-        F.when(raw == "", F.lit("empty"))
-        .when(~raw.rlike(_QUANTITY), F.lit("malformed"))
-        .when(suffix.rlike(AMBIGUOUS_SIZE_SUFFIX), F.lit("ambiguous_decimal"))
-        .when(factor.isNull(), F.lit("unknown_suffix"))
-    )
-    return _checked(amount * factor, reason)
+
+    def of(raw: Column) -> Column:
+        amount = F.regexp_extract(raw, _QUANTITY, 1).try_cast("double")
+        suffix = F.lower(F.regexp_extract(raw, _QUANTITY, 2))
+        unit = F.when(suffix == "", F.lit("b")).otherwise(
+            F.regexp_replace(suffix, r"ib\z", "")
+        )
+        factor = F.try_element_at(_unit_map(SIZE_UNITS), unit)
+        reason = (
+            F.when(raw == "", F.lit("empty"))
+            .when(~raw.rlike(_QUANTITY), F.lit("malformed"))
+            .when(suffix.rlike(AMBIGUOUS_SIZE_SUFFIX), F.lit("ambiguous_decimal"))
+            .when(factor.isNull(), F.lit("unknown_suffix"))
+        )
+        return _checked(amount * factor, reason)
+
+    return let(F.coalesce(strip(text), F.lit("")), of)
 
 
 def size_from_number(number: Column) -> Column:
@@ -81,17 +84,20 @@ def parse_duration(text: Column) -> Column:
     Reasons: ``empty``, ``bare_number``, ``malformed``, ``unknown_unit``,
     ``out_of_range``.
     """
-    raw = F.coalesce(strip(text), F.lit(""))
-    amount = F.regexp_extract(raw, _QUANTITY, 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(raw, _QUANTITY, 2))
-    factor = F.try_element_at(_unit_map(DURATION_UNITS_MS), unit)
-    reason = (
-        F.when(raw == "", F.lit("empty"))
-        .when(raw.rlike(_BARE_NUMBER), F.lit("bare_number"))
-        .when(~raw.rlike(_QUANTITY), F.lit("malformed"))
-        .when(factor.isNull(), F.lit("unknown_unit"))
-    )
-    return _checked(amount * factor + F.lit(0.5), reason)
+
+    def of(raw: Column) -> Column:
+        amount = F.regexp_extract(raw, _QUANTITY, 1).try_cast("double")
+        unit = F.lower(F.regexp_extract(raw, _QUANTITY, 2))
+        factor = F.try_element_at(_unit_map(DURATION_UNITS_MS), unit)
+        reason = (
+            F.when(raw == "", F.lit("empty"))
+            .when(raw.rlike(_BARE_NUMBER), F.lit("bare_number"))
+            .when(~raw.rlike(_QUANTITY), F.lit("malformed"))
+            .when(factor.isNull(), F.lit("unknown_unit"))
+        )
+        return _checked(amount * factor + F.lit(0.5), reason)
+
+    return let(F.coalesce(strip(text), F.lit("")), of)
 
 
 def _is_rate(token: Column) -> Column:
@@ -104,13 +110,10 @@ def timetable_entries(text: Column) -> Column:
     A value with no comma anywhere must be exactly one rate; once one entry has
     a comma, every entry must be ``HH:MM,rate``.
     """
-    raw = F.coalesce(strip(text), F.lit(""))
-    tokens = F.split(raw, f"{SPACE_CLASS}+")
-    timed = raw.contains(",")
 
-    def plain(token: Column) -> Column:
+    def plain(tokens: Column, token: Column) -> Column:
         bad = (F.size(tokens) != 1) | ~_is_rate(token)
-        error = F.when(raw == "", F.lit("empty")).when(bad, F.lit("bad_rate"))
+        error = F.when(token == "", F.lit("empty")).when(bad, F.lit("bad_rate"))
         return F.struct(
             F.lit(None).cast("string").alias("hhmm"),
             token.alias("rate"),
@@ -127,7 +130,14 @@ def timetable_entries(text: Column) -> Column:
         )
         return F.struct(hhmm.alias("hhmm"), rate.alias("rate"), error.alias("error"))
 
-    return F.when(timed, F.transform(tokens, entry)).otherwise(F.transform(tokens, plain))
+    def of(tokens: Column) -> Column:
+        timed = F.exists(tokens, lambda token: token.contains(","))
+        return F.when(timed, F.transform(tokens, entry)).otherwise(
+            F.transform(tokens, lambda token: plain(tokens, token))
+        )
+
+    # a stripped text has an empty token only when it is empty altogether
+    return let(F.split(F.coalesce(strip(text), F.lit("")), f"{SPACE_CLASS}+"), of)
 
 
 def timetable_error(text: Column) -> Column:

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsight.functions.chars import strip
+from keepsight.functions.chars import let, strip
 from keepsight.functions.units import (
     HHMM,
     parse_duration,
@@ -21,8 +20,6 @@ from keepsight.functions.units import (
     size_from_number,
     timetable_error,
 )
-from keepsight.operators.inventory import protected_path_check
-from keepsight.operators.retention import check_retention_safe
 
 # Keys a configuration document may hold, per section.
 KNOWN_KEYS = {
@@ -242,15 +239,15 @@ def _wrong_kind(rule: Rule, value: Column, kind: Column) -> Column:
                 F.lit("malformed")
             )
         )
-        return F.when(reason.isNotNull(), F.concat(F.lit("size: "), reason))
+        return F.concat(F.lit("size: "), reason)
     if rule.kind == "duration":
         reason = F.when(_is_text(kind), parse_duration(text)["reason"]).otherwise(
             F.lit("bare_number")
         )
-        return F.when(reason.isNotNull(), F.concat(F.lit("duration: "), reason))
+        return F.concat(F.lit("duration: "), reason)
     if rule.kind == "timetable":
         reason = F.when(_is_text(kind), timetable_error(text)).otherwise(F.lit("malformed"))
-        return F.when(reason.isNotNull(), F.concat(F.lit("timetable: "), reason))
+        return F.concat(F.lit("timetable: "), reason)
     raise ValueError(f"unknown kind {rule.kind!r}")
 
 
@@ -262,36 +259,56 @@ def _finding(rule_name: str, message: Column, path: Column) -> Column:
 
 def _rule_finding(rule: Rule, doc: Column, prefix: Column) -> Column:
     """The first thing wrong with one key, or null."""
-    value = value_at(doc, rule.path)
-    kind = F.schema_of_variant(value)
     path = F.concat(prefix, F.lit(rule.path))
-    chain = (
-        F.when(value.isNull(), _finding("required", F.lit("is required"), path))
-        if rule.required
-        else F.when(value.isNull(), F.lit(None))
-    )
-    wrong = _wrong_kind(rule, value, kind)
-    chain = chain.when(wrong.isNotNull(), _finding("type", wrong, path))
-    number, text = _as(value, "double"), strip(_as(value, "string"))
-    if rule.min is not None:
-        chain = chain.when(
-            number < rule.min, _finding("min", F.lit(f"must be at least {rule.min}"), path)
-        )
-    if rule.max is not None:
-        chain = chain.when(
-            number > rule.max, _finding("max", F.lit(f"must be at most {rule.max}"), path)
-        )
-    if rule.allowed is not None:
-        words = ", ".join(map(str, rule.allowed))
-        chain = chain.when(
-            ~text.isin(*map(str, rule.allowed)),
-            _finding("enum", F.lit(f"expected one of {words}"), path),
-        )
-    if rule.pattern is not None:
-        chain = chain.when(
-            ~text.rlike(rule.pattern), _finding("pattern", F.lit("has the wrong form"), path)
+
+    def judge(found: Column) -> Column:
+        value, kind = found["value"], found["kind"]
+        missing = _finding("required", F.lit("is required"), path) if rule.required else F.lit(None)
+        return F.when(value.isNull(), missing).otherwise(
+            let(_wrong_kind(rule, value, kind), lambda wrong: beyond(value, wrong))
         )
-    return chain
+
+    def beyond(value: Column, wrong: Column) -> Column:
+        """Bounds and form, once the kind is right."""
+        chain = F.when(wrong.isNotNull(), _finding("type", wrong, path))
+        number, text = _as(value, "double"), strip(_as(value, "string"))
+        if rule.min is not None:
+            chain = chain.when(
+                number < rule.min, _finding("min", F.lit(f"must be at least {rule.min}"), path)
+            )
+        if rule.max is not None:
+            chain = chain.when(
+                number > rule.max, _finding("max", F.lit(f"must be at most {rule.max}"), path)
+            )
+        if rule.allowed is not None:
+            words = ", ".join(map(str, rule.allowed))
+            chain = chain.when(
+                ~text.isin(*map(str, rule.allowed)),
+                _finding("enum", F.lit(f"expected one of {words}"), path),
+            )
+        if rule.pattern is not None:
+            chain = chain.when(
+                ~text.rlike(rule.pattern), _finding("pattern", F.lit("has the wrong form"), path)
+            )
+        return chain
+
+    value = value_at(doc, rule.path)
+    return let(F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind")), judge)
+
+
+_FINDING = "struct<path:string,rule:string,message:string>"
+
+
+def _findings(*found: Column) -> Column:
+    return F.array_compact(F.array(*found)).cast(f"array<{_FINDING}>")
+
+
+def _exploded(docs: DataFrame, id_col: str, findings: Column) -> DataFrame:
+    return docs.select(id_col, F.explode(findings).alias("_v")).select(id_col, "_v.*")
+
+
+def _rule_findings(doc: Column, rules: Sequence[Rule], prefix: Column) -> Column:
+    return _findings(*[_rule_finding(rule, doc, prefix) for rule in rules])
 
 
 def check_required_type_range(
@@ -303,10 +320,7 @@ def check_required_type_range(
 ) -> DataFrame:
     """Required keys, kinds, bounds, allowed values and forms, one finding per key."""
     start = F.lit("") if prefix is None else prefix
-    findings = F.array_compact(
-        F.array(*[_rule_finding(rule, F.col(doc_col), start) for rule in rules])
-    )
-    return docs.select(id_col, F.explode(findings).alias("_v")).select(id_col, "_v.*")
+    return _exploded(docs, id_col, _rule_findings(F.col(doc_col), rules, start))
 
 
 def check_enum(
@@ -325,6 +339,13 @@ def check_pattern(
     return check_required_type_range(docs, [Rule(path, "string", pattern=regex)], id_col, doc_col)
 
 
+def _version_finding(doc: Column, version: int | str, path: str) -> Column:
+    found = F.try_variant_get(doc, json_path(path), "string")
+    wrong = value_at(doc, path).isNotNull() & ~F.coalesce(found == str(version), F.lit(False))
+    message = F.lit(f"this build reads version {version}")
+    return F.when(wrong, _finding("schema_version", message, F.lit(path)))
+
+
 def check_schema_version(
     docs: DataFrame,
     version: int | str = SCHEMA_VERSION,
@@ -333,14 +354,16 @@ def check_schema_version(
     doc_col: str = "doc",
 ) -> DataFrame:
     """Documents of another version; an absent version means the current one."""
-    found = F.try_variant_get(doc_col, json_path(path), "string")
-    return docs.filter(value_at(F.col(doc_col), path).isNotNull()).filter(
-        ~F.coalesce(found == str(version), F.lit(False))
-    ).select(
-        id_col,
-        F.lit(path).alias("path"),
-        F.lit("schema_version").alias("rule"),
-        F.lit(f"this build reads version {version}").alias("message"),
+    finding = _version_finding(F.col(doc_col), version, path)
+    return _exploded(docs, id_col, _findings(finding))
+
+
+def _conditional_finding(doc: Column, when_path: str, value: str, then_path: str) -> Column:
+    chosen = strip(F.try_variant_get(doc, json_path(when_path), "string")) == value
+    message = F.lit(f"is required when {when_path} is {value}")
+    return F.when(
+        chosen & value_at(doc, then_path).isNull(),
+        _finding("conditional_required", message, F.lit(then_path)),
     )
 
 
@@ -353,14 +376,8 @@ def check_conditional_required(
     doc_col: str = "doc",
 ) -> DataFrame:
     """``then_path`` must be present where ``when_path`` has the given value."""
-    chosen = strip(F.try_variant_get(doc_col, json_path(when_path), "string")) == value
-    absent = value_at(F.col(doc_col), then_path).isNull()
-    return docs.filter(chosen & absent).select(
-        id_col,
-        F.lit(then_path).alias("path"),
-        F.lit("conditional_required").alias("rule"),
-        F.lit(f"is required when {when_path} is {value}").alias("message"),
-    )
+    finding = _conditional_finding(F.col(doc_col), when_path, value, then_path)
+    return _exploded(docs, id_col, _findings(finding))
 
 
 def section_items(
@@ -371,43 +388,62 @@ def section_items(
     return docs.select(id_col, F.posexplode(items).alias("index", "item"))
 
 
-def _sections(
-    docs: DataFrame, known: Mapping[str, Sequence[str]], id_col: str, doc_col: str
-) -> DataFrame:
-    """``(id, section, path, key)`` for every key of every known section; one pass."""
-
-    def keys_of(node: Column) -> Column:
-        return F.coalesce(
-            F.json_object_keys(F.to_json(node)), F.array().cast("array<string>")
-        )
+def _section_keys(doc: Column, known: Mapping[str, Sequence[str]]) -> Column:
+    """``array<struct<section, path, keys>>`` of a document's known sections."""
 
     def entry(section: str, path: Column, node: Column) -> Column:
-        return F.struct(F.lit(section).alias("section"), path.alias("path"), keys_of(node).alias("keys"))
+        keys = F.coalesce(F.json_object_keys(F.to_json(node)), F.array().cast("array<string>"))
+        return F.struct(F.lit(section).alias("section"), path.alias("path"), keys.alias("keys"))
 
-    doc = F.col(doc_col)
-    plain = [
-        entry(s, F.lit("config" if s == "root" else s), value_at(doc, "" if s == "root" else s))
-        for s in known
-        if s != "source"
-    ]
-    nodes = F.array(*plain)
-    if "source" in known:
-        items = F.coalesce(
-            F.try_variant_get(doc, "$.source", "array<variant>"), F.array().cast("array<variant>")
+    nodes = F.array(
+        *[
+            entry(s, F.lit("config" if s == "root" else s), value_at(doc, "" if s == "root" else s))
+            for s in known
+            if s != "source"
+        ]
+    )
+    if "source" not in known:
+        return nodes
+    per_source = F.transform(
+        _items(doc, "source"),
+        lambda item, i: entry(
+            "source", F.concat(F.lit("source["), i.cast("string"), F.lit("]")), item
+        ),
+    )
+    return F.concat(nodes, per_source)
+
+
+def _items(doc: Column, section: str) -> Column:
+    items = F.try_variant_get(doc, json_path(section), "array<variant>")
+    return F.coalesce(items, F.array().cast("array<variant>"))
+
+
+def _unknown_findings(doc: Column, known: Mapping[str, Sequence[str]]) -> Column:
+    def strange_keys(node: Column, section: str) -> Column:
+        words = F.array(*[F.lit(k) for k in known[section]])
+        return F.transform(
+            F.array_except(node["keys"], words),
+            lambda k: F.struct(k.alias("key"), _suggestion(k, known[section]).alias("hint")),
         )
-        nodes = F.concat(
-            nodes,
-            F.transform(
-                items,
-                lambda item, i: entry(
-                    "source", F.concat(F.lit("source["), i.cast("string"), F.lit("]")), item
+
+    def of_section(node: Column) -> Column:
+        # one branch per section: its dictionary, and the hint drawn from it
+        strange = F
+        for section in known:
+            strange = strange.when(node["section"] == section, strange_keys(node, section))
+        return F.transform(
+            strange,
+            lambda e: _finding(
+                "unknown_key",
+                F.concat(
+                    F.lit("unknown key"),
+                    F.coalesce(F.concat(F.lit("; did you mean "), e["hint"]), F.lit("")),
                 ),
+                F.concat_ws(".", node["path"], e["key"]),
             ),
         )
-    return (
-        docs.select(id_col, F.explode(nodes).alias("_n"))
-        .select(id_col, "_n.section", "_n.path", F.explode("_n.keys").alias("key"))
-    )
+
+    return F.flatten(F.transform(_section_keys(doc, known), of_section))
 
 
 def check_unknown_keys(
@@ -417,25 +453,7 @@ def check_unknown_keys(
     doc_col: str = "doc",
 ) -> DataFrame:
     """Keys a section does not define, with the nearest known key where there is one."""
-    unknown = reduce(
-        lambda acc, c: acc | c,
-        [(F.col("section") == s) & ~F.col("key").isin(*keys) for s, keys in known.items()],
-    )
-    hint = F.lit(None).cast("string")
-    for section, keys in known.items():
-        hint = F.when(F.col("section") == section, _suggestion(F.col("key"), keys)).otherwise(hint)
-    return (
-        _sections(docs, known, id_col, doc_col)
-        .filter(unknown)
-        .select(
-            id_col,
-            F.concat_ws(".", "path", "key").alias("path"),
-            F.lit("unknown_key").alias("rule"),
-            F.concat(
-                F.lit("unknown key"), F.coalesce(F.concat(F.lit("; did you mean "), hint), F.lit(""))
-            ).alias("message"),
-        )
-    )
+    return _exploded(docs, id_col, _unknown_findings(F.col(doc_col), known))
 
 
 def _suggestion(key: Column, known: Sequence[str], max_dist: int = 2) -> Column:
@@ -463,11 +481,14 @@ def suggest_key(
 def coverage_of_keys(
     docs: DataFrame,
     known: Mapping[str, Sequence[str]] = KNOWN_KEYS,
-    id_col: str = "doc_id",
     doc_col: str = "doc",
 ) -> DataFrame:
     """Known keys that no document mentions."""
-    seen = _sections(docs, known, id_col, doc_col).select("section", "key").distinct()
+    seen = (
+        docs.select(F.explode(_section_keys(F.col(doc_col), known)).alias("_n"))
+        .select("_n.section", F.explode("_n.keys").alias("key"))
+        .distinct()
+    )
     rows = [(section, key) for section, keys in known.items() for key in keys]
     catalogue = docs.sparkSession.createDataFrame(rows, "section string, key string")
     return catalogue.join(seen, ["section", "key"], "left_anti")
@@ -553,50 +574,100 @@ def credential_key_scan(
     )
 
 
-def validate_config(docs: DataFrame, id_col: str = "doc_id", doc_col: str = "doc") -> DataFrame:
-    """Everything wrong with each configuration document."""
-    items = section_items(docs, "source", id_col, doc_col)
-    where = F.concat(F.lit("source["), F.col("index").cast("string"), F.lit("]."))
-    named = items.select(
-        id_col,
-        strip(F.try_variant_get("item", "$.name", "string")).alias("name"),
-        strip(F.try_variant_get("item", "$.path", "string")).alias("path"),
+def _policy_finding(doc: Column) -> Column:
+    """As ``check_retention_safe``, on one document with defaults filled in."""
+
+    def keep(name: str) -> Column:
+        path = f"retention.keep_{name}"
+        return F.coalesce(F.try_variant_get(doc, json_path(path), "bigint"), F.lit(DEFAULTS[path]))
+
+    unsafe = keep("last") < 2
+    for name in ("daily", "weekly", "monthly", "yearly"):
+        unsafe = unsafe & (keep(name) == 0)
+    message = F.lit("policy would keep a single snapshot")
+    return F.when(unsafe, _finding("retention_safe", message, F.lit("retention")))
+
+
+def _named_sources(doc: Column) -> Column:
+    return F.transform(
+        _items(doc, "source"),
+        lambda item: F.struct(
+            strip(F.try_variant_get(item, "$.name", "string")).alias("name"),
+            strip(F.try_variant_get(item, "$.path", "string")).alias("path"),
+        ),
+    )
+
+
+def _duplicate_findings(sources: Column) -> Column:
+    """As ``check_unique``, on the sources of one document."""
+    names = F.filter(F.transform(sources, lambda s: s["name"]), lambda n: n.isNotNull())
+    twice = F.filter(
+        F.array_distinct(names), lambda n: F.size(F.filter(names, lambda m: m == n)) > 1
+    )
+    return F.transform(
+        twice,
+        lambda n: _finding(
+            "unique", F.concat(F.lit("duplicate name "), n), F.lit("source")
+        ),
     )
-    paths = F.array(
+
+
+def _containment_findings(doc: Column, sources: Column) -> Column:
+    """As ``protected_path_check``, on the sources of one document."""
+    targets = F.array(
         *[
             F.struct(
                 F.lit(f"repo.{key}").alias("label"),
                 F.coalesce(
-                    strip(F.try_variant_get(doc_col, f"$.repo.{key}", "string")),
+                    strip(F.try_variant_get(doc, f"$.repo.{key}", "string")),
                     F.lit(DEFAULTS[f"repo.{key}"]),
-                ).alias("protected_path"),
+                ).alias("path"),
             )
             for key in PROTECTED_KEYS
         ]
     )
-    protected = docs.select(id_col, F.explode(paths).alias("_p")).select(id_col, "_p.*")
-    keeps = {f"retention.keep_{p}": DEFAULTS[f"retention.keep_{p}"] for p in
-             ("last", "daily", "weekly", "monthly", "yearly")}
-    policy = apply_defaults(typed_columns(docs.select(id_col, doc_col), keeps, doc_col), keeps)
-    plain = policy.select(
-        id_col, *[F.col(f"`{name}`").alias(name.split(".")[1]) for name in keeps]
+
+    def of_source(source: Column) -> Column:
+        root = F.concat(F.regexp_replace(source["path"], r"/\z", ""), F.lit("/"))
+        return F.transform(
+            F.filter(targets, lambda p: p["path"].startswith(root)),
+            lambda p: _finding(
+                "protected_path",
+                F.concat_ws(" ", source["name"], F.lit("contains"), p["label"]),
+                F.lit("source"),
+            ),
+        )
+
+    return F.flatten(F.transform(sources, of_source))
+
+
+def validate_config(docs: DataFrame, id_col: str = "doc_id", doc_col: str = "doc") -> DataFrame:
+    """Everything wrong with each configuration document, in one pass and without a shuffle."""
+    doc = F.col(doc_col)
+    single = _findings(
+        _version_finding(doc, SCHEMA_VERSION, "schema_version"),
+        _conditional_finding(doc, "secrets.provider", "command", "secrets.command"),
+        _policy_finding(doc),
     )
-    contained = protected_path_check(named, protected, [id_col]).select(
-        id_col,
-        F.lit("source").alias("path"),
-        F.lit("protected_path").alias("rule"),
-        F.concat_ws(" ", F.col("name"), F.lit("contains"), F.col("label")).alias("message"),
+    per_source = F.flatten(
+        F.transform(
+            _items(doc, "source"),
+            lambda item, i: _rule_findings(
+                item, SOURCE_RULES, F.concat(F.lit("source["), i.cast("string"), F.lit("]."))
+            ),
+        )
     )
+    sources = _named_sources(doc)
+    kind = f"array<{_FINDING}>"
     parts = [
-        check_schema_version(docs, SCHEMA_VERSION, "schema_version", id_col, doc_col),
-        check_required_type_range(docs, CONFIG_RULES, id_col, doc_col),
-        check_required_type_range(items, SOURCE_RULES, id_col, "item", where),
-        check_unknown_keys(docs, KNOWN_KEYS, id_col, doc_col),
-        check_conditional_required(
-            docs, "secrets.provider", "command", "secrets.command", id_col, doc_col
-        ),
-        check_retention_safe(plain, id_col),
-        check_unique(named, id_col, "name"),
-        contained,
+        single,
+        _rule_findings(doc, CONFIG_RULES, F.lit("")),
+        per_source,
+        _unknown_findings(doc, KNOWN_KEYS),
+        let(sources, _duplicate_findings),
+        let(sources, lambda found: _containment_findings(doc, found)),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    empty = F.array().cast(kind)
+    return _exploded(
+        docs, id_col, F.concat(*[F.coalesce(part.cast(kind), empty) for part in parts])
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,36 @@ def _usable(secrets: DataFrame) -> DataFrame:
     )
 
 
+def _may_hold(text: Column, values: Sequence[str]) -> Column:
+    """False only where none of ``values``, all of one length, can occur in ``text``.
+
+    One character class per position; a scan by it is one pass, however many
+    values there are.
+    """
+    classes = (
+        "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(set(at))) + "]" for at in zip(*values)
+    )
+    return text.rlike("".join(classes))
+
+
+def redact_columns(df: DataFrame, cols: Sequence[str], secrets: Sequence[str]) -> DataFrame:
+    """Redact with a list of registered values; no shuffle.
+
+    Each step is a projection of its own, so a text is not worked out again for
+    every place a later step mentions it.
+    """
+    for _, group in groupby(usable_secrets(secrets), key=len):
+        values = list(group)
+        steps = {c: redact_known(F.col(c), values) for c in cols}
+        if len(values) > 1:
+            steps = {
+                c: F.when(_may_hold(F.col(c), values), step).otherwise(F.col(c))
+                for c, step in steps.items()
+            }
+        df = df.withColumns(steps)
+    return df.withColumns({c: redact_shapes(F.col(c)) for c in cols})
+
+
 def redact(
     df: DataFrame,
     cols: Sequence[str],
@@ -56,50 +87,55 @@ def redact(
 ) -> DataFrame:
     """Redact text columns: registered values, longest first, then credential shapes.
 
-    Up to ``fold_limit`` values become literals of one projection: no shuffle.
+    Up to ``fold_limit`` values become literals of the projection: no shuffle.
     Above it each row first finds its own candidates by join, which needs a
     unique ``id_col``; the result is the same.
     """
     if not isinstance(secrets, DataFrame):
-        values = usable_secrets(secrets)
-        return df.withColumns({c: redact_shapes(redact_known(F.col(c), values)) for c in cols})
+        return redact_columns(df, cols, secrets)
     values = secrets_within(secrets, fold_limit)
     if values is not None:
-        return df.withColumns({c: redact_shapes(redact_known(F.col(c), values)) for c in cols})
+        return redact_columns(df, cols, values)
     if id_col is None:
         raise ValueError(f"more than {fold_limit} secrets: give id_col, a unique column")
     out = df
     for col in cols:
         found = _candidates(df, col, id_col, secrets)
         out = out.join(found.withColumnRenamed("_found", f"_found_{col}"), id_col, "left")
-    return out.select(
-        *[
-            redact_shapes(redact_known_array(F.col(c), F.col(f"_found_{c}"))).alias(c)
-            if c in cols
-            else F.col(c)
-            for c in df.columns
-        ]
+    known = out.withColumns(
+        {
+            c: F.when(
+                F.col(f"_found_{c}").isNotNull(), redact_known_array(F.col(c), F.col(f"_found_{c}"))
+            ).otherwise(F.col(c))
+            for c in cols
+        }
     )
+    return known.select(
+        *[redact_shapes(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns]
+    )
+
+
+_RUN = rf"[{WORD}]{{8}}"
 
 
-def _grams(text: Column) -> Column:
+def _grams(text: Column, loose: bool) -> Column:
     """Distinct short windows of a text, few enough to join on.
 
-    Windows of eight characters that are all word characters, or that begin or
-    end with a separator, and windows of four that begin or end with one. Every
-    text of eight or more characters has one, and a text holds all windows of any
-    text inside it.
+    Windows of eight word characters; with ``loose`` also windows of eight or four
+    that begin or end with a separator. Every text of eight or more characters has
+    one of these, and a text holds all windows of any text inside it.
     """
-    w, s = f"[{WORD}]", f"[^{WORD}]"
-    eight = rf"(?s)(?=({w}{{8}}|{s}.{{7}}|.{{7}}{s}))"
-    four = rf"(?s)(?=({s}.{{3}}|.{{3}}{s}))"
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (eight, four)]
-    return F.array_distinct(F.concat(*found))
+    s = f"[^{WORD}]"
+    patterns = [rf"(?=({_RUN}))"]
+    if loose:
+        patterns += [rf"(?s)(?=({s}.{{7}}|.{{7}}{s}))", rf"(?s)(?=({s}.{{3}}|.{{3}}{s}))"]
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]
+    return F.array_distinct(F.concat(*found) if loose else found[0])
 
 
-def _anchored(secrets: DataFrame) -> DataFrame:
+def _anchored(secrets: DataFrame, loose: bool) -> DataFrame:
     """Each usable secret with its rarest window, the longer one on a tie."""
-    grams = _usable(secrets).withColumn("_gram", F.explode(_grams(F.col("value"))))
+    grams = _usable(secrets).withColumn("_gram", F.explode(_grams(F.col("value"), loose)))
     shared = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     order = F.struct("_n", -F.length("_gram"), "_gram")
     return (
@@ -126,9 +162,12 @@ def _candidates(df: DataFrame, col: str, id_col: str, secrets: DataFrame) -> Dat
             .otherwise(0)
         )
 
-    windows = df.select(id_col, F.explode(_grams(F.col(col))).alias("_gram"))
+    # separators matter only for secrets without a run of eight word characters,
+    # such as a phrase of short words
+    loose = not _usable(secrets).filter(~F.col("value").rlike(_RUN)).isEmpty()
+    windows = df.select(id_col, F.explode(_grams(F.col(col), loose)).alias("_gram"))
     return (
-        salted_join(windows, _anchored(secrets), ["_gram"], "inner", [id_col])
+        salted_join(windows, _anchored(secrets, loose), ["_gram"], "inner", [id_col])
         .groupBy(id_col)
         .agg(F.array_sort(F.collect_set("value"), longest_first).alias("_found"))
     )
@@ -138,9 +177,10 @@ def redaction_report(
     df: DataFrame, col: str, source: str, secrets: Sequence[str] = ()
 ) -> DataFrame:
     """Per source: rows changed, and markers put in by each layer."""
-    known = redact_known(F.col(col), usable_secrets(secrets))
-    rows = df.select(source, F.col(col).alias("_before"), known.alias("_known")).withColumn(
-        "_after", redact_shapes(F.col("_known"))
+    rows = (
+        df.select(source, F.col(col).alias("_before"))
+        .withColumn("_known", redact_known(F.col("_before"), secrets))
+        .withColumn("_after", redact_shapes(F.col("_known")))
     )
     held, known_n, after_n = (marker_count(F.col(c)) for c in ("_before", "_known", "_after"))
     return rows.groupBy(source).agg(

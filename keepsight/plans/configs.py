@@ -39,9 +39,7 @@ def documents(spark, sf_dir):
         F.lit('":7}}'),
     )
     parts = t.table(spark, sf_dir, "part")
-    return parts.select(key.alias("doc_id"), doc.alias("json")).withColumn(
-        "doc", F.try_parse_json("json")
-    )
+    return parts.select(key.alias("doc_id"), doc.alias("json"))
 
 
 _BOUNDS = """
@@ -87,10 +85,10 @@ _UNKNOWN = f"""
 
 
 def _docs(spark, sf_dir):
-    # a second "provider" would make the document unreadable, so it is renamed
-    docs = documents(spark, sf_dir)
+    # a second "provider" would make the document unreadable, so it is left out
     clean = F.replace("json", F.lit('"provider":null,'), F.lit(""))
-    return docs.withColumn("json", clean).withColumn("doc", F.try_parse_json("json"))
+    docs = documents(spark, sf_dir).select("doc_id", clean.alias("json"))
+    return t.stored(docs, "documents").withColumn("doc", F.try_parse_json("json"))
 
 
 @query("check_required_type_range", _BOUNDS)

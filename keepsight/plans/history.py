@@ -20,7 +20,7 @@ CRONS = ["0 2 * * *", "30 */6 * * 1-5", "0 5 * * 0", "15,45 3-4 1,15 * *"]
 
 
 def _log(spark, sf_dir):
-    lines = t.log_lines(spark, sf_dir)
+    lines = t.stored(t.log_lines(spark, sf_dir), "log_lines")
     return parse_event_lines(lines).filter(F.col("event").isNotNull())
 
 

@@ -10,11 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepsight.sources.shared import shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, the way a fleet keeps logs and documents.
+
+    Operators then read plain columns instead of working out the derivation again
+    in every filter the optimizer pushes down.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pick(index: Column, words: list) -> Column:
     """The word at ``index`` modulo the number of words."""
     return F.get(F.array(*[F.lit(w) for w in words]), F.pmod(index, F.lit(len(words))).cast("int"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from keepsight.functions.rates import BYTES_PER_MB, printed
-from keepsight.functions.redaction import redact_known, redact_shapes, usable_secrets
+from keepsight.operators.redaction import redact_columns
 from keepsight.sources.readers import file_stem, parse_event_lines
 
 # Fixed value: how long a repeated message stays suppressed.
@@ -111,8 +111,7 @@ def stream_suppress_duplicates(
 
 def stream_redact(stream: DataFrame, cols: Sequence[str], secrets: Sequence[str] = ()) -> DataFrame:
     """Redact text before it reaches any sink; the batch operator's own expression."""
-    values = usable_secrets(secrets)
-    return stream.withColumns({c: redact_shapes(redact_known(F.col(c), values)) for c in cols})
+    return redact_columns(stream, cols, secrets)
 
 
 def stream_interval_match(
