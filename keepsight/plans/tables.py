@@ -21,11 +21,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, the way a fleet keeps logs and documents.
 
     Operators then read plain columns instead of working out the derivation again
-    in every filter the optimizer pushes down.
+    in every filter the optimizer pushes down. Written in one piece per core: a
+    small input file would otherwise leave all later work to one task.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pick(index: Column, words: list) -> Column:
