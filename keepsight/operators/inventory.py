@@ -79,8 +79,9 @@ def protected_path_check(
     """Sources (``name``, ``path``) whose tree contains a protected path (``label``, ``protected_path``).
 
     A tree contains a path when the tree's root is one of the path's ancestors,
-    so this is an equi-join on ancestors. ``by`` names shared columns, such as the
-    document, inside which the check applies. One trailing slash is ignored.
+    so this is an equi-join on ancestors, salted because all paths share the upper
+    ones. ``by`` names shared columns, such as the document, inside which the check
+    applies. One trailing slash is ignored.
     """
     parts = F.split("protected_path", "/")
     ancestors = F.transform(
@@ -89,7 +90,8 @@ def protected_path_check(
     )
     targets = protected.filter(F.size(parts) > 1).withColumn("_root", F.explode(ancestors))
     roots = sources.withColumn("_root", F.regexp_replace("path", r"/\z", ""))
-    return roots.join(targets, [*by, "_root"]).select(
+    joined = salted_join(targets, roots, [*by, "_root"], "inner", ["label", "protected_path"])
+    return joined.select(
         *by, "name", "path", "label", "protected_path"
     )
 

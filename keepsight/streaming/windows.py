@@ -24,7 +24,7 @@ def stream_event_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_event_lines(lines, "raw")
 
 
-def split_sinks(parsed: DataFrame, events_path: str, rejects_path: str) -> Callable:
+def split_sinks(events_path: str, rejects_path: str) -> Callable:
     """``foreachBatch`` function that writes events and rejects to two tables.
 
     Each batch is written under its own number, so a batch that runs again after a
@@ -45,9 +45,7 @@ def split_sinks(parsed: DataFrame, events_path: str, rejects_path: str) -> Calla
 def write_event_log(parsed: DataFrame, path: str) -> StreamingQuery:
     """Drain an event-log stream into ``path/events`` and ``path/rejects``."""
     return (
-        parsed.writeStream.foreachBatch(
-            split_sinks(parsed, f"{path}/events", f"{path}/rejects")
-        )
+        parsed.writeStream.foreachBatch(split_sinks(f"{path}/events", f"{path}/rejects"))
         .option("checkpointLocation", f"{path}/_checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -105,7 +103,10 @@ def stream_sessions(events: DataFrame, gap: str, lateness: str = "10 minutes") -
 def stream_suppress_duplicates(
     events: DataFrame, keys: Sequence[str] = ("source", "message"), delay: str = SUPPRESS_FOR
 ) -> DataFrame:
-    """First of each repeated message; repeats within ``delay`` of it are suppressed."""
+    """First of each repeated message; repeats within ``delay`` of it are suppressed.
+
+    A message passes again once the watermark has moved past ``delay``.
+    """
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
