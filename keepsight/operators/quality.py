@@ -203,15 +203,13 @@ def _is_number(kind: Column) -> Column:
 
 def _wrong_kind(rule: Rule, value: Column, kind: Column) -> Column:
     """Reason a present value is not of the rule's kind, or null."""
-    text = _as(value, "string")
-    no_text = ~_is_text(kind)
     if rule.kind == "text":
-        bad = no_text | (strip(text) == "")
+        bad = ~_is_text(kind) | (strip(_as(value, "string")) == "")
         return F.when(bad, F.lit("expected a non-empty string"))
     if rule.kind == "string":
-        return F.when(no_text, F.lit("expected a string"))
+        return F.when(~_is_text(kind), F.lit("expected a string"))
     if rule.kind == "text_or_null":
-        return F.when(no_text & (kind != "VOID"), F.lit("expected a string or null"))
+        return F.when(~kind.isin("STRING", "VOID"), F.lit("expected a string or null"))
     if rule.kind == "integer":
         number = _as(value, "double")
         whole = _is_number(kind) & (number == F.floor(number))
@@ -233,6 +231,7 @@ def _wrong_kind(rule: Rule, value: Column, kind: Column) -> Column:
                 else "expected at least one table"
             ),
         )
+    text = _as(value, "string")
     if rule.kind == "size":
         reason = F.when(_is_text(kind), parse_size(text)["reason"]).otherwise(
             F.when(_is_number(kind), size_from_number(_as(value, "double"))["reason"]).otherwise(
@@ -271,7 +270,10 @@ def _rule_finding(rule: Rule, doc: Column, prefix: Column) -> Column:
     def beyond(value: Column, wrong: Column) -> Column:
         """Bounds and form, once the kind is right."""
         chain = F.when(wrong.isNotNull(), _finding("type", wrong, path))
-        number, text = _as(value, "double"), strip(_as(value, "string"))
+        bounded = rule.min is not None or rule.max is not None
+        worded = rule.allowed is not None or rule.pattern is not None
+        number = _as(value, "double") if bounded else None
+        text = strip(_as(value, "string")) if worded else None
         if rule.min is not None:
             chain = chain.when(
                 number < rule.min, _finding("min", F.lit(f"must be at least {rule.min}"), path)
