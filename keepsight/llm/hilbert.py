@@ -106,7 +106,7 @@ def with_curve(df: DataFrame, dims: list[str], curve: Curve = Curve(), out: str
             )
 
     numbered = df.withColumns({n: _as_number(df, d) for n, d in zip(names, dims)})
-    return numbered.mapInArrow(place, T.StructType(df.schema.fields).add(out, "bigint"))
+    return numbered.mapInArrow(place, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
 
 
 def shard_rows(

@@ -36,7 +36,8 @@ def ranked(df: DataFrame, order: list[str], scratch: Scratch, name: str = "ranke
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType(df.schema.fields).add("_part", "int").add("_number", "bigint")
+    added = [T.StructField("_part", T.IntegerType()), T.StructField("_number", T.LongType())]
+    schema = T.StructType([*df.schema.fields, *added])
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     kept = scratch.write(dealt.mapInArrow(_numbered, schema), name)
     counts = sorted((r["_part"], r["n"]) for r in kept.groupBy("_part").agg(F.count("*").alias("n")).collect())
