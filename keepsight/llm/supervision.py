@@ -232,17 +232,9 @@ def judged(
 def good_documents(docs: DataFrame, text_col: str = "text", rules=default_rules, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the base rule and the weighed votes keep; columns stay as they are.
 
-    Two passes: one for the table of vote patterns that the accuracies are fitted on, one
-    that measures again and filters, so no text is stored or shuffled.
+    The rows are written once with their measures, so no text is measured twice or shuffled.
     """
-    scratch = Scratch("supervision")
     columns = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
-    text = f"c{columns.index(text_col)}"
-    m = F.col("measures")
-    votes = rules(m)
-    patterns = scratch.write(vote_patterns(measured(plain.select(text), text), votes), "patterns")
-    model = fit(patterns.coalesce(1), list(votes))
-    keep = ~F.coalesce(base_failed(m), F.lit(True)) & (posterior(votes, model) >= threshold)
-    kept = measured(plain, text).filter(keep)
-    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
+    rows = judged(plain, f"c{columns.index(text_col)}", rules, threshold, keep_text=True)
+    return rows.filter("kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
