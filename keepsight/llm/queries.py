@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsight.llm import hilbert, supervision
+from keepsight.llm import byte_cnn, hilbert, supervision
+from keepsight.llm.cross_entropy import cross_entropy_difference
+from keepsight.llm.licenses import license_scan
 from keepsight.llm.line_runs import line_report
 from keepsight.llm.near_dup import NearDup, near_duplicates
 from keepsight.llm.packing import packed
 from keepsight.llm.spaced_seeds import contamination
+from keepsight.llm.storage import Scratch
+from keepsight.llm.token_rollup import TokenLedger, side, token_counts
+from keepsight.sources.shared import shared_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,11 +55,41 @@ def weak_supervision(spark, sf_dir):
     return rows.select("doc_id", *names)
 
 
+@query("op3_license_rules")
+def license_rules(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op4_spaced_seeds")
 def spaced_seeds(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+VOCABULARIES = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+
+
+@query("op5_token_rollup")
+def token_rollup(spark, sf_dir):
+    """Estimates are inserted, revised to exact counts, and later copies of a text deleted.
+
+    One batch is sent twice, as after a lost answer. What is left counts distinct texts.
+    """
+    docs = table(spark, sf_dir, "documents")
+    read = docs.select("doc_id", "source", "lang", F.octet_length("text").alias("bytes"), F.md5("text").alias("body"), "text")
+    counted = Scratch("rollup").write(token_counts(read, VOCABULARIES), "counts")
+    each = counted.select("doc_id", "source", "lang", "bytes", "body", F.explode("counts").alias("tokenizer", "n"))
+    of = lambda tokens: side("source", "lang", F.col("tokenizer"), tokens)
+    estimate, exact, none = of(F.ceil(F.col("bytes") / 4)), of(F.col("n")), F.lit(None)
+    first = counted.groupBy("body").agg(F.min("doc_id").alias("doc_id"))
+    copies = each.join(first, ["body", "doc_id"], "left_anti").filter("body IS NOT NULL")
+    ledger = TokenLedger(spark, shared_path(spark, "token-ledger"))
+    ledger.commit("estimates", each.select(none.alias("before"), estimate.alias("after")))
+    for _ in range(2):
+        ledger.commit("exact-counts", each.select(estimate.alias("before"), exact.alias("after")))
+    ledger.commit("copies", copies.select(exact.alias("before"), none.alias("after")))
+    return ledger.totals()
+
+
 @query("op6_hierarchical_packing")
 def hierarchical_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"))
@@ -65,6 +100,14 @@ def minhash_near_dup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(shingle=3, threshold=85))
 
 
+@query("op8_cross_entropy")
+def cross_entropy(spark, sf_dir):
+    """Target: documents labelled good and not toxic; background: all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 RUN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
 LINE_RUNS_SQL = rf"""
@@ -109,3 +152,11 @@ def line_suffix_array(spark, sf_dir):
     rows = line_report(table(spark, sf_dir, "documents"), RUN_WORDS)
     listed = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("deleted_lines", "copied_from")}
     return rows.withColumns(listed)
+
+
+@query("op10_byte_cnn")
+def language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = lambda c: F.coalesce(F.pmod(F.crc32(c.cast("string")), F.lit(4)) == 2, F.lit(False))
+    rows = byte_cnn.identify(docs, ~held(F.col("doc_id")))
+    return rows.select("doc_id", held(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
