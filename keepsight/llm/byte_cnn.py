@@ -111,7 +111,7 @@ def train(texts: list[bytes], labels: list[str], config: Config = Config()) -> N
             x, y = rows[chosen].copy(), target[chosen]
             short = rng.random(len(x)) < 0.3  # so that short texts are known too
             for k in np.flatnonzero(short):
-                x[k, rng.integers(16, config.window) :] = 0
+                x[k, rng.integers(min(16, config.window // 2), config.window) :] = 0
             step += 1
             for v, g, a, b in zip(values, _gradients(net, x, y), first, second):
                 a += 0.1 * (g - a)

@@ -20,7 +20,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -271,25 +270,53 @@ def _within_bands(members: DataFrame, reps: DataFrame, how: NearDup) -> DataFram
     )
     steps = how.least_matches
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(len(group), -1)
-        ids, comps, part = group["id"].to_numpy(), group["comp"].to_numpy(), group["mine"].to_numpy()
-        left, right = np.flatnonzero(part == group["i"].iat[0]), np.flatnonzero(part == group["j"].iat[0])
-        found = []
-        for x in left:
-            y = right[comps[right] != comps[x]]
-            if group["i"].iat[0] == group["j"].iat[0]:
-                y = y[y > x]
-            alive, matches = surviving(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], steps)
-            y = y[alive]
-            found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), matches))
-        a, b, m = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-        return pd.DataFrame({"a": a, "b": b, "matches": m.astype(np.int32)})
-
-    pairs = dealt.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint, matches int")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            last = len(table) - _group_starts(table)[-1] if len(table) else 0  # may go on in the next batch
+            yield _compared(table.slice(0, len(table) - last), steps)
+            held = table.slice(len(table) - last).to_batches()
+        if held:
+            yield _compared(pa.Table.from_batches(held), steps)
+
+    group = ["key", "i", "j"]
+    dealt = dealt.select(*group, "id", "comp", "mine", "sig").repartition(*group).sortWithinPartitions(*group)
+    pairs = dealt.mapInArrow(compare, "a bigint, b bigint, matches int")
     return pairs.groupBy("a", "b").agg(F.max("matches").alias("matches"))
 
 
+def _group_starts(table: pa.Table) -> np.ndarray:
+    """Where the rows of each (key, i, j) start."""
+    new = np.zeros(len(table), bool)
+    new[:1] = True
+    for name in ("key", "i", "j"):
+        value = table.column(name).to_numpy()
+        new[1:] |= value[1:] != value[:-1]
+    return np.flatnonzero(new)
+
+
+def _compared(table: pa.Table, steps) -> pa.RecordBatch:
+    """The likely pairs of different components within each group of a sorted table."""
+    ids, comps, part, i, j = (table.column(n).to_numpy() for n in ("id", "comp", "mine", "i", "j"))
+    signatures = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(table), -1 if len(table) else 1)
+    starts = _group_starts(table) if len(table) else np.zeros(0, int)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    for low, high in zip(starts, np.append(starts[1:], len(table))):
+        x, y = np.triu_indices(high - low, 1)
+        x, y = x + low, y + low
+        meet = (np.minimum(part[x], part[y]) == i[low]) & (np.maximum(part[x], part[y]) == j[low])
+        meet &= comps[x] != comps[y]
+        x, y = x[meet], y[meet]
+        for k in range(0, len(x), 1 << 15):
+            left, right = x[k : k + (1 << 15)], y[k : k + (1 << 15)]
+            alive, matches = surviving(signatures[left], signatures[right], steps)
+            left, right = ids[left[alive]], ids[right[alive]]
+            found.append((np.minimum(left, right), np.maximum(left, right), matches))
+    a, b, m = (np.concatenate(c) for c in zip(*found))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(m.astype(np.int32))], ["a", "b", "matches"])
+
+
 def near_duplicates(
     docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
