@@ -29,7 +29,7 @@ def test_windows_cover_whole_texts():
 def test_gradients_match_differences():
     config = c.Config(widths=(2, 4), filters=3, window=12)
     rng = np.random.default_rng(0)
-    texts = [bytes(rng.choice(list(b"abcdef "), 30)) for _ in range(6)]
+    texts = [bytes(rng.choice(list(b"abcdef "), 30).tolist()) for _ in range(6)]
     net = c.train(texts, ["p", "q"] * 3, c.Config(widths=(2, 4), filters=3, window=12, epochs=1))
     net = c.Network(config, net.languages, [w.astype(float) for w in net.weights], net.dense.astype(float), net.bias.astype(float))
     x, _ = c.windows_of(np.frombuffer(texts[0], np.uint8), np.array([0, 30]), 12)
