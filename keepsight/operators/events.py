@@ -26,10 +26,13 @@ def event_select(events: DataFrame, message_type: str, field: str) -> DataFrame:
 
 
 def last_event_value(events: DataFrame, message_type: str, field: str) -> DataFrame:
-    """Last usable value of a field per run: null and false do not count."""
+    """Last usable value of a field per run: null and false do not count, the text "false" does."""
+    value = _field(field)
+    kind = F.schema_of_variant(F.try_variant_get("event", f"$.{field}", "variant"))
+    usable = value.isNotNull() & ~((kind == "BOOLEAN") & (value == "false"))
     return (
-        event_select(events, message_type, field)
-        .filter(F.col("value").isNotNull() & (F.col("value") != "false"))
+        events.filter(_type_is(message_type) & usable)
+        .select("run_id", "line_no", value.alias("value"))
         .groupBy("run_id")
         .agg(F.max_by("value", "line_no").alias("value"))
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def map_with_errors(
@@ -14,11 +15,13 @@ def map_with_errors(
 ) -> DataFrame:
     """``(ordinal, success, value, error)``: ``fn`` applied to each row as a dict.
 
-    An exception becomes the row's ``error``. Rows stream through Arrow batches;
+    An exception becomes the row's ``error``, and so does a result that is not of
+    ``value_type``. Values reach ``fn`` as they are: whole numbers stay whole and a
+    null is None, whatever else the batch holds. Rows stream through Arrow batches;
     parallelism is the number of partitions. ``ordinal`` names a column of ``df``
     that says which row a result belongs to.
     """
-    value = value_type if isinstance(value_type, T.DataType) else T._parse_datatype_string(value_type)
+    value = value_type if isinstance(value_type, T.DataType) else T.DataType.fromDDL(value_type)
     schema = T.StructType(
         [
             T.StructField(ordinal, df.schema[ordinal].dataType),
@@ -27,24 +30,26 @@ def map_with_errors(
             T.StructField("error", T.StringType()),
         ]
     )
+    kind = to_arrow_type(value)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, errors = [], []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
-                    values.append(fn(row))
+                    values.append(pa.array([fn(row)], kind))
                     errors.append(None)
                 except Exception as problem:  # noqa: BLE001 - isolating failures is the point
-                    values.append(None)
+                    values.append(pa.nulls(1, kind))
                     errors.append(str(problem))
-            yield pd.DataFrame(
-                {
-                    ordinal: batch[ordinal],
-                    "success": [e is None for e in errors],
-                    "value": pd.Series(values, index=batch.index, dtype="object"),
-                    "error": errors,
-                }
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(ordinal),
+                    pa.array([e is None for e in errors], pa.bool_()),
+                    pa.concat_arrays(values) if values else pa.nulls(0, kind),
+                    pa.array(errors, pa.string()),
+                ],
+                [ordinal, "success", "value", "error"],
             )
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

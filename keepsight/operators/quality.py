@@ -6,11 +6,15 @@ finds. Checks on one document are column expressions over a VARIANT: no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsight.functions.chars import let, strip
 from keepsight.functions.units import (
@@ -95,7 +99,7 @@ CREDENTIAL_KEY = r"(?i)password|passphrase|secret|mnemonic|token|api_?key|creden
 SOURCE_NAME = r"\A[a-zA-Z0-9][A-Za-z0-9_.-]*\z"
 ABSOLUTE_PATH = r"\A/"
 SCHEMA_VERSION = 1
-MAX_DEPTH = 8
+EXPLODE_STEPS = 8
 PROTECTED_KEYS = ["rclone_config", "cache_dir", "tmp_dir"]
 
 
@@ -342,8 +346,13 @@ def check_pattern(
 
 
 def _version_finding(doc: Column, version: int | str, path: str) -> Column:
-    found = F.try_variant_get(doc, json_path(path), "string")
-    wrong = value_at(doc, path).isNotNull() & ~F.coalesce(found == str(version), F.lit(False))
+    found = value_at(doc, path)
+    kind = F.schema_of_variant(found)
+    if isinstance(version, str):
+        same = _is_text(kind) & (_as(found, "string") == version)
+    else:
+        same = _is_number(kind) & (_as(found, "double") == version)
+    wrong = found.isNotNull() & ~F.coalesce(same, F.lit(False))
     message = F.lit(f"this build reads version {version}")
     return F.when(wrong, _finding("schema_version", message, F.lit(path)))
 
@@ -538,18 +547,19 @@ def typed_columns(
 
 
 def credential_key_scan(
-    df: DataFrame, json_col: str, id_col: str, max_depth: int = MAX_DEPTH
+    df: DataFrame, json_col: str, id_col: str, steps: int = EXPLODE_STEPS
 ) -> DataFrame:
     """Scalar values under a name that looks like a credential, with their dotted path.
 
     One chain of outer explodes yields each leaf of a document once, in one pass.
-    A value still nested after ``max_depth`` steps is reported as ``too_deep``.
+    What is still nested after ``steps`` of them is walked to its end in Arrow
+    batches, so a document of any depth is searched whole.
     """
     spark = df.sparkSession
     rows = df.select(id_col, F.try_parse_json(json_col).alias("_v0")).withColumn(
         "_path", F.lit("")
     ).withColumn("_key", F.lit(None).cast("string"))
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, steps + 1):
         last = f"_v{depth - 1}"
         step = spark.tvf.variant_explode_outer(F.col(last).outer()).toDF("_p", "_k", f"_v{depth}")
         here = (
@@ -565,15 +575,45 @@ def credential_key_scan(
             F.when(F.col("_p").isNull(), F.col("_key")).otherwise(F.col("_k")).alias("_key"),
             F.when(F.col("_p").isNull(), F.col(last)).otherwise(F.col(f"_v{depth}")).alias(f"_v{depth}"),
         )
-    kind = F.schema_of_variant(f"_v{max_depth}")
+    value = F.col(f"_v{steps}")
+    kind = F.schema_of_variant(value)
     nested = kind.rlike(r"\A(?:OBJECT|ARRAY)") & ~kind.isin("OBJECT<>", "ARRAY<VOID>")
-    scalar = ~kind.rlike(r"\A(?:OBJECT|ARRAY)")
-    rule = F.when(nested, F.lit("too_deep")).when(
-        scalar & F.col("_key").rlike(CREDENTIAL_KEY), F.lit("credential")
-    )
-    return rows.select(id_col, F.col("_path").alias("path"), rule.alias("rule")).filter(
-        F.col("rule").isNotNull()
+    named = ~kind.rlike(r"\A(?:OBJECT|ARRAY)") & F.col("_key").rlike(CREDENTIAL_KEY)
+    left = rows.filter(nested | named).select(
+        id_col, F.col("_path").alias("path"), F.when(nested, F.to_json(value)).alias("_rest")
     )
+    schema = T.StructType([df.schema[id_col], T.StructField("path", T.StringType())])
+    return left.mapInArrow(_walked, schema).withColumn("rule", F.lit("credential"))
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths without a rest as they are; a rest's credentials under its path."""
+    for batch in batches:
+        at, paths = [], []
+        for n, (path, rest) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            found = [path] if rest is None else _credential_paths(path, json.loads(rest))
+            at += [n] * len(found)
+            paths += found
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string())],
+            [batch.schema.names[0], "path"],
+        )
+
+
+def _credential_paths(path: str, node: object) -> list[str]:
+    found, ahead = [], [(path, node)]
+    while ahead:
+        path, node = ahead.pop()
+        if isinstance(node, list):
+            ahead += [(f"{path}[{n}]", child) for n, child in enumerate(node) if isinstance(child, (dict, list))]
+        else:
+            for key, child in node.items():
+                below = f"{path}.{key}"
+                if isinstance(child, (dict, list)):
+                    ahead.append((below, child))
+                elif re.search(CREDENTIAL_KEY, key, re.ASCII):
+                    found.append(below)
+    return found
 
 
 def _policy_finding(doc: Column) -> Column:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsight.operators.skew import salted_join
 
@@ -46,8 +49,16 @@ REPORTS_KEEP = 200
 REPORTS_KEEP_DAYS = 400
 
 
-def _local(ts: Column, timezone: str) -> Column:
-    return ts if timezone == "UTC" else F.from_utc_timestamp(ts, timezone)
+def _local_day(rows: DataFrame, ts: str, timezone: str) -> Column:
+    """The policy zone's date of an instant, whatever the session's zone.
+
+    A time without a zone means UTC.
+    """
+    utc = F.col(ts)
+    if not isinstance(rows.schema[ts].dataType, T.TimestampNTZType):
+        seconds = F.unix_seconds(utc.cast("timestamp")).cast("decimal(18,6)")
+        utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(timezone), utc).cast("date")
 
 
 def retention_keepers(
@@ -74,7 +85,7 @@ def retention_keepers(
     periods = policy.periods()
     if periods:
         # the local day is kept as a date, so it truncates the same everywhere
-        day = F.to_date(_local(F.col("_ts"), policy.timezone))
+        day = _local_day(base, "_ts", policy.timezone)
         days = (
             base.groupBy(*groups, day.alias("_day"))
             .agg(F.max(F.struct("_ts", "_id")).alias("_top"))
@@ -116,12 +127,15 @@ def retention_plan(
 ) -> DataFrame:
     """Every snapshot with ``keep`` and sorted ``reasons``.
 
-    Snapshot ids are unique, so marking is a join on the id: no group, however
-    large, meets in one task, and the keepers (a few rows per group) are
-    broadcast when they are measured to be small.
+    Marking is a join on group, time and id, so an id may repeat over groups: no
+    group, however large, meets in one task, and the keepers (a few rows per
+    group) are broadcast when they are measured to be small.
     """
+    keys = [*group_cols, ts, id_col]
     keepers = retention_keepers(snapshots, policy, group_cols, ts, id_col)
-    marked = snapshots.join(keepers.select(id_col, "reasons"), id_col, "left")
+    keepers = keepers.select(*[F.col(k).alias(f"_keeper_{n}") for n, k in enumerate(keys)], "reasons")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_keeper_{n}")) for n, k in enumerate(keys)])
+    marked = snapshots.join(keepers, same, "left")
     return marked.select(
         *snapshots.columns,
         F.col("reasons").isNotNull().alias("keep"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,23 +57,38 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)\z", 1), r"\.[^.]*\z", "")
 
 
+def run_name(root: str) -> Column:
+    """A file's path below ``root`` without its extension: runs of other folders stay apart.
+
+    ``root`` may be a folder, a pattern or a single file, whose run is its bare name.
+    """
+    plain = re.sub(r"\A[A-Za-z][\w+.-]*:(?://[^/]*)?", "", root)
+    head = re.split(r"[*?{\[]", plain, maxsplit=1)[0]
+    folder = (head.rstrip("/") if head == plain else head.rpartition("/")[0]) + "/"
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    at = F.locate(folder, full)
+    name = F.element_at(F.split(full, "/"), -1)
+    below = F.when(at > 0, F.substr(full, at + len(folder))).otherwise(name)
+    return F.regexp_replace(below, r"\.[^./]*\z", "")
+
+
 def parse_event_lines(lines: DataFrame, raw: str = "value") -> DataFrame:
     """Adds ``event`` (variant); null where a line is not one JSON object.
 
     Noise lines and a cut-off last line are expected, so nothing here fails.
     """
-    is_object = F.ltrim(raw).startswith("{")
+    is_object = F.col(raw).rlike(r"\A[ \t\r\n]*\{")
     return lines.withColumn("event", F.when(is_object, F.try_parse_json(raw)))
 
 
 def scan_event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(events, rejects)`` of newline-delimited engine output, one file per run.
+    """``(events, rejects)`` of newline-delimited engine output, one file per run, folders included.
 
     ``line_no`` orders the lines of a file without a shuffle: a split is read in
     order by one task, and splits start at known offsets.
     """
-    lines = spark.read.text(path).select(
-        file_stem(F.col("_metadata.file_name")).alias("run_id"),
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        run_name(path).alias("run_id"),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("id"),
@@ -172,14 +188,18 @@ def scan_file_inventory(
 def scan_quota_history(spark: SparkSession, path: str) -> DataFrame:
     """Quota readings as a time series; an empty object gives nulls.
 
-    The label comes from a ``quota-<label>.json`` name, the time from the file.
+    A file is one object over any number of lines, or one object a line. The label
+    comes from a ``quota-<label>.json`` name, the time from the file.
     """
-    return spark.read.schema(QUOTA).json(path).select(
+    whole = F.try_parse_json("value").isNotNull()
+    lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
+    files = spark.read.text(path, wholetext=True).select(
+        "_metadata", F.explode(F.when(whole, F.array("value")).otherwise(lines)).alias("value")
+    )
+    return files.withColumn("_reading", F.from_json("value", QUOTA)).select(
         F.regexp_replace(file_stem(F.col("_metadata.file_name")), r"\Aquota-", "").alias("label"),
         F.col("_metadata.file_modification_time").alias("taken_at"),
-        "total",
-        "used",
-        "free",
+        "_reading.*",
     )
 
 

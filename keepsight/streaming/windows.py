@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from keepsight.functions.rates import BYTES_PER_MB, printed
 from keepsight.operators.redaction import redact_columns
-from keepsight.sources.readers import file_stem, parse_event_lines
+from keepsight.sources.readers import parse_event_lines, run_name
 
 # Fixed value: how long a repeated message stays suppressed.
 SUPPRESS_FOR = "1 second"
@@ -18,8 +18,8 @@ SUPPRESS_FOR = "1 second"
 
 def stream_event_log(spark: SparkSession, path: str) -> DataFrame:
     """Stream of ``(run_id, raw, event)``; ``event`` is null where a line is no JSON object."""
-    lines = spark.readStream.text(path).select(
-        file_stem(F.col("_metadata.file_name")).alias("run_id"), F.col("value").alias("raw")
+    lines = spark.readStream.option("recursiveFileLookup", "true").text(path).select(
+        run_name(path).alias("run_id"), F.col("value").alias("raw")
     )
     return parse_event_lines(lines, "raw")
 

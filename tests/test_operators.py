@@ -293,7 +293,7 @@ def test_many_secrets_by_join_equals_the_fold(spark):
         redaction.redact(df, ["text"], table, fold_limit=3)
 
 
-def test_credential_scan_reaches_into_arrays_and_reports_depth(spark):
+def test_credential_scan_reaches_into_arrays_and_to_any_depth(spark):
     docs = {
         1: '{"a":{"password":"x"},"secrets":{"provider":"env"},"tokens":["a","b"],"l":[{"API-key":1,"api_key":null}]}',
         2: '{"a":' * 10 + '{"token":1}' + "}" * 10, 3: "not json", 4: '{"secret":{}, "credential":[]}', 5: "[]",
@@ -302,7 +302,7 @@ def test_credential_scan_reaches_into_arrays_and_reports_depth(spark):
     got = {(r["id"], r["path"], r["rule"]) for r in q.credential_key_scan(df, "j", "id").collect()}
     assert got == {
         (1, "a.password", "credential"), (1, "l[0].api_key", "credential"),
-        (2, ".".join("a" * 8), "too_deep"),
+        (2, ".".join([*"a" * 10, "token"]), "credential"),
     }
 
 
@@ -366,3 +366,24 @@ def test_map_with_errors_isolates_rows(spark):
 
     got = {r["id"]: (r["success"], r["value"], r["error"]) for r in map_with_errors(df, fn, "long", "id").collect()}
     assert got == {i: (False, None, f"odd {i}") if i % 2 else (True, i * 10, None) for i in range(10)}
+
+
+def test_map_with_errors_keeps_values_exact(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(1, big), (2, None), (3, 5)], "id long, n long").coalesce(1)
+    seen = lambda row: {5: "text"}.get(row["n"], row["n"])
+    got = {r["id"]: (r["success"], r["value"]) for r in map_with_errors(df, seen, "long", "id").collect()}
+    assert got == {1: (True, big), 2: (True, None), 3: (False, None)}
+
+
+def test_retention_keeps_equal_ids_of_hosts_apart(spark):
+    rows = [("A", "s1", "2024-01-01 00:00:00"), ("A", "s2", "2024-01-02 00:00:00"), ("B", "s1", "2024-01-05 00:00:00")]
+    df = spark.createDataFrame(rows, "host string, snapshot_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = retention.retention_plan(df, retention.RetentionPolicy(0, 1, 0, 0, 0), ["host"]).collect()
+    assert sorted((r["host"], r["snapshot_id"], r["keep"]) for r in got) == [("A", "s1", False), ("A", "s2", True), ("B", "s1", True)]
+
+
+def test_schema_version_is_compared_by_type(spark):
+    docs = [(1, '{"schema_version":1}'), (2, '{"schema_version":"1"}'), (3, "{}"), (4, '{"schema_version":2}')]
+    df = spark.createDataFrame(docs, "doc_id long, j string").select("doc_id", F.parse_json("j").alias("doc"))
+    assert sorted(r["doc_id"] for r in q.check_schema_version(df).collect()) == [2, 4]

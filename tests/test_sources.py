@@ -160,3 +160,20 @@ def test_ledger_appends_and_refuses_unknown_verdicts(spark, tmp_path):
     assert (gate["passed"], gate["failed"], gate["warned"], gate["gate"]) == (1, 1, 1, "FAIL")
     with pytest.raises(Exception, match="unknown verdict"):
         writers.append_ledger(rows("MAYBE"), path)
+
+
+def test_runs_of_other_folders_and_the_text_false(spark, tmp_path):
+    for host, value in (("hostA", '"false"'), ("hostB", "false")):
+        (tmp_path / host).mkdir()
+        (tmp_path / host / "t2.ndjson").write_text(
+            '{"message_type":"summary","v":"abc"}\n\t{"message_type":"summary","v":%s}\n' % value
+        )
+    events, rejects = readers.scan_event_log(spark, str(tmp_path))
+    got = {r["run_id"]: r["value"] for r in ev.last_event_value(events, "summary", "v").collect()}
+    assert got == {"hostA/t2": "false", "hostB/t2": "abc"} and rejects.count() == 0
+
+
+def test_indented_quota_file(spark, tmp_path):
+    (tmp_path / "quota-before.json").write_text('{\n  "total": 10,\n  "used": 4,\n  "free": 6\n}\n')
+    got = readers.scan_quota_history(spark, str(tmp_path)).collect()
+    assert [(r["label"], r["total"], r["used"], r["free"]) for r in got] == [("before", 10, 4, 6)]
