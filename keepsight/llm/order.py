@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -51,3 +52,45 @@ def ranked(df: DataFrame, order: list[str], scratch: Scratch, name: str = "ranke
         .withColumn("rank", F.col("_number") + F.col("_before"))
         .drop("_part", "_number", "_before")
     )
+
+
+def placed(
+    df: DataFrame, order: list[str], scratch: Scratch, sums: tuple[str, ...] = (), name: str = "placed"
+) -> DataFrame:
+    """``ranked``, and for each whole-number column of ``sums`` its total ``<column>_before`` the row.
+
+    Nulls count as 0. Every column of ``df`` stays.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    locals_ = [f"_local_{c}" for c in sums]
+    added = ["_part int", "_number bigint", *(f"{c} bigint" for c in locals_)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, totals = TaskContext.get().partitionId(), 0, [0] * len(sums)
+        for batch in batches:
+            n, columns = len(batch), list(batch.columns)
+            columns.append(pa.array(np.full(n, part, np.int32)))
+            columns.append(pa.array(np.arange(seen, seen + n, dtype=np.int64)))
+            for k, c in enumerate(sums):
+                value = batch.column(c).fill_null(0).cast(pa.int64()).to_numpy()
+                upto = np.cumsum(value) + totals[k]
+                columns.append(pa.array(upto - value))
+                totals[k] = int(upto[-1]) if n else totals[k]
+            seen += n
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_part", "_number", *locals_])
+
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(added)).fields])
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    kept = scratch.write(dealt.mapInArrow(walk, schema), name)
+    each = kept.groupBy("_part").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums)).collect()
+    before, totals = [], [0] * (1 + len(sums))
+    for row in sorted(each, key=lambda r: r["_part"]):
+        before.append((row["_part"], *totals))
+        totals = [t + (row[c] or 0) for t, c in zip(totals, ["n", *sums])]
+    names = ["_before", *(f"_before_{c}" for c in sums)]
+    offsets = spark.createDataFrame(before, ", ".join(["_part int", *(f"{c} bigint" for c in names)]))
+    out = kept.join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_number") + F.col("_before"))
+    for c, local in zip(sums, locals_):
+        out = out.withColumn(f"{c}_before", F.col(local) + F.col(f"_before_{c}"))
+    return out.drop("_part", "_number", *locals_, *names)

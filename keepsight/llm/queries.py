@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsight.llm import byte_cnn, hilbert, supervision
+from keepsight.llm import bag_search, byte_cnn, hilbert, supervision
 from keepsight.llm.cross_entropy import cross_entropy_difference
 from keepsight.llm.licenses import license_scan
 from keepsight.llm.line_runs import line_report
@@ -160,3 +160,36 @@ def language_id(spark, sf_dir):
     held = lambda c: F.coalesce(F.pmod(F.crc32(c.cast("string")), F.lit(4)) == 2, F.lit(False))
     rows = byte_cnn.identify(docs, ~held(F.col("doc_id")))
     return rows.select("doc_id", held(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+BAG_SEARCH_SQL = r"""
+WITH low AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), word AS (
+  SELECT r, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM low
+), tf AS (SELECT r, term, count(*) AS tf FROM word GROUP BY ALL),
+len AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+total AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM len),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+item AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), part AS (
+  SELECT item_id, r, floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // l))) AS part
+  FROM item JOIN df USING (term) JOIN tf USING (term) JOIN len USING (r), total
+), scored AS (SELECT item_id, r, sum(part)::BIGINT AS score FROM part GROUP BY ALL),
+placed AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+  FROM scored JOIN low USING (r) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10"""
+
+
+@query("op11_bag_search", BAG_SEARCH_SQL)
+def bag_dedup_search(spark, sf_dir):
+    found = bag_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("item", "item_id")

@@ -68,6 +68,29 @@ def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def cuts(
+    data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_BLANK
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Bytes of about ``PIECE`` each: the first text's number, the bytes, where its texts start and end.
+
+    Short texts share a piece; a text longer than a piece comes in several, cut between
+    words, so what is found in a text adds up over the pieces with its number.
+    """
+    for a, b in pieces(offsets):
+        start, end = offsets[a], offsets[b]
+        if end - start <= PIECE:
+            yield a, data[start:end], offsets[a : b + 1] - start
+            continue
+        while start < end:
+            stop = min(start + PIECE, end)
+            while stop < end and is_word[data[stop]]:
+                near = data[stop : min(stop + 4096, end)]
+                blank = np.flatnonzero(~is_word[near])
+                stop += blank[0] if len(blank) else len(near)
+            yield a, data[start:stop], np.array([0, stop - start])
+            start = stop
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_BLANK):
     """Start and end of every word, and the number of the first word of each text."""
     inside = is_word[data]
