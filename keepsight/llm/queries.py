@@ -11,6 +11,8 @@ from keepsight.llm.licenses import license_scan
 from keepsight.llm.line_runs import line_report
 from keepsight.llm.near_dup import NearDup, near_duplicates
 from keepsight.llm.packing import packed
+from keepsight.llm.prefix_trie import conversation_trie
+from keepsight.llm.source_mix import mixed
 from keepsight.llm.spaced_seeds import contamination
 from keepsight.llm.storage import Scratch
 from keepsight.llm.token_rollup import TokenLedger, side, token_counts
@@ -193,3 +195,80 @@ SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10"""
 def bag_dedup_search(spark, sf_dir):
     found = bag_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("item", "item_id")
+
+
+TRIE_SQL = """
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i::UBIGINT], range(8)::UBIGINT[]),
+      lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) AS v
+    FROM range(256) r(i))
+), turn AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'role': role, 'text': text}
+    ORDER BY turn NULLS FIRST, sha256(concat(strlen(role), ':', role, text))) AS turns FROM turn GROUP BY conv_id
+), head AS (
+  SELECT conv_id, turns, conv_id - conv_id % 20 AS p, (xor(list_reduce(list_concat([4294967295::UBIGINT],
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::UBIGINT)),
+    lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) % 4)::BIGINT AS h FROM own, crc
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(p.turns[1:h], []), o.turns[h + 1:]) AS turns
+  FROM head o LEFT JOIN own p ON p.conv_id = o.p
+), member AS (
+  SELECT conv_id, depth, turns[1:depth] AS path, len(turns) = depth AS ends
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)
+), node AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1)
+      * len(regexp_extract_all(path[depth].text, '[^\\x20\\x09-\\x0D]+')) END AS saved
+  FROM member GROUP BY depth, path
+), child AS (
+  SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (depth, path)
+), above AS (
+  SELECT saved, n_children = 0 AS leaf, d AS depth, path[1:d] AS path
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM counted)
+), below AS (
+  SELECT depth, path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM above GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM counted n JOIN below USING (depth, path) LEFT JOIN node p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def prefix_trie(spark, sf_dir):
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+SOURCE_MIX_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS weight FROM doc GROUP BY source
+), filled AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
+    coalesce(sum(2 * source_size) OVER w, 0) AS held, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open
+  FROM src WINDOW w AS (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT coalesce(max((budget - held) / open) FILTER (WHERE (budget - held) / open * weight <= 2 * source_size), 0) AS level FROM filled
+), target AS (
+  SELECT source, source_size, least((2 * source_size)::DOUBLE, level * weight) AS target FROM src, level
+), shuffled AS (
+  SELECT doc_id, size, source_size, target, round(target)::BIGINT AS wanted,
+    (sum(size) OVER (PARTITION BY doc.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size, r) - size)::BIGINT AS start
+  FROM doc JOIN target ON doc.source IS NOT DISTINCT FROM target.source
+)
+SELECT doc_id, size, source_size, target, greatest(0, least(size, wanted - start))
+  + greatest(0, least(size, wanted - source_size - start)) AS taken FROM shuffled"""
+
+
+@query("op13_source_mix", SOURCE_MIX_SQL)
+def source_mix(spark, sf_dir):
+    rows, pieces = mixed(table(spark, sf_dir, "documents"))
+    taken = pieces.groupBy("row").agg(F.sum("length").alias("taken"))
+    taken = rows.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
