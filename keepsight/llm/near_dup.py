@@ -7,9 +7,12 @@ at a time; after each batch, the posterior of the similarity says how likely it
 to reach the threshold, and the pair is given up once that chance is below a chosen miss
 probability. What survives is verified on the full sets.
 
-Groups of any size: within a band, every member is first compared to one hub, which is
-linear; only members that hubs have left in different components are compared with each
-other, in blocks, and only surviving pairs leave a block.
+Groups of any size: in turns, every member whose bands hold several components is compared
+with one hub, a member of the largest of them, and the links found are contracted; so a
+turn costs no more than one pair a document, and each turn leaves fewer. Only members that
+hubs keep leaving in different components are compared with the rest of their band, in
+blocks: signatures first, then whole sets of those that a likely partner is left for. What
+leaves a block is no pair of sets but a star for each component in it.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from keepsight.llm.words import hashed_texts, list_column, mix, windows
 class NearDup:
     """``shingle`` words, ``threshold`` of the Jaccard similarity in percent, ``rows`` of a
     band, the chance ``band_miss`` that a pair at the threshold shares no band, the chance
-    ``miss`` at which a comparison is given up, and hashes compared in a ``batch``."""
+    ``miss`` at which a comparison is given up, hashes compared in a ``batch``, members of a
+    ``block`` and the ``shingles`` that they have at most together; hubs go on while one in ``worth`` of the likely pairs is a link."""
 
     shingle: int = 5
     threshold: int = 80
@@ -42,7 +46,9 @@ class NearDup:
     band_miss: float = 1e-6
     miss: float = 1e-5
     batch: int = 20
-    block: int = 256
+    block: int = 1024
+    shingles: int = 1 << 20
+    worth: int = 16
 
     @cached_property
     def bands(self) -> int:
@@ -199,13 +205,18 @@ def surviving(left: np.ndarray, right: np.ndarray, steps) -> tuple[np.ndarray, n
     return alive, matches
 
 
+def _filter_bits(ids: int) -> int:
+    """Bits of a filter over so many ids: 16 for each, 128 MB at most; a fuller filter only lets more through."""
+    return 1 << min(30, max(16, (16 * ids - 1).bit_length()))
+
+
 def _sets_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, how: NearDup) -> DataFrame:
     """``id, shingles`` of the documents whose ids are in ``needed``.
 
-    A bitmap of the ids' hashes, of a size that no input exceeds, spares the other texts
-    the shuffle; the join that follows is what decides.
+    A bitmap of the ids' hashes spares the other texts the shuffle; the join that follows
+    is what decides.
     """
-    spark, bits = docs.sparkSession, 1 << 22
+    spark, bits = docs.sparkSession, _filter_bits(needed.count())
     bitmap = bitmaps.build(needed.select(F.xxhash64("id").alias("key")), "key", bits)
     shared = spark.sparkContext.broadcast(bitmap)
 
@@ -251,42 +262,67 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets
 
 
-def _within_bands(members: DataFrame, reps: DataFrame, how: NearDup) -> DataFrame:
-    """Likely pairs of members (``key, id, comp``) of one band and different components.
+def _one_hub_each(members: DataFrame, turn: int) -> DataFrame:
+    """One pair ``a, b`` for each member (``key, id, comp``) of a band with several components.
 
-    A band of n members is cut into n / block parts; each pair of parts is one group of at
-    most about two blocks, compared as arrays of signatures.
+    A band's hub is a member of its largest component, another one each turn. A member of
+    another component meets one hub of its bands, the one that all would choose.
     """
-    sizes = members.groupBy("key").agg(
-        F.ceil(F.count("*") / how.block).cast("int").alias("parts"), F.min("comp").alias("low"), F.max("comp").alias("high")
-    )
-    mixed = members.join(sizes.filter("low < high").select("key", "parts"), "key")
-    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = (
-        mixed.withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "id", "comp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        .join(reps.select("id", "sig"), "id")
+    drawn = lambda c: F.xxhash64(F.col(c), F.lit(turn))
+    each = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(drawn("id").alias("by"), "id")).alias("hub"))
+    hubs = each.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "hub", "comp")).alias("top"))
+    hubs = hubs.filter("parts > 1").select("key", F.col("top.hub.id").alias("hub"), F.col("top.comp").alias("hub_comp"))
+    met = members.join(hubs, "key").filter("comp <> hub_comp")
+    chosen = met.groupBy("id").agg(F.min(F.struct(drawn("hub").alias("by"), "hub")).alias("hub"))
+    return chosen.select(F.least("id", "hub.hub").alias("a"), F.greatest("id", "hub.hub").alias("b")).distinct()
+
+
+def _within_bands(members: DataFrame, how: NearDup, exact: bool) -> DataFrame:
+    """Compares members (``key, id, comp, sig``; if ``exact`` also ``shingles``) of one band
+    and different components.
+
+    Who is not in a band's largest component is compared with the others. Both sides are
+    cut into blocks by members and shingles, and each pair of blocks is one group, compared
+    as arrays; so a band costs its other members times its blocks. Signatures prune first.
+    Not ``exact``: gives the ``key, id`` that a likely partner is left for. ``exact``:
+    verifies those pairs on the full sets and gives ``a, b``, a star for each component
+    that a group's links make. Either way a group gives no more rows than it has.
+    """
+    size = F.size("shingles") if exact else F.lit(0)
+    each = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+    bands = each.groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "comp")).alias("top")
     )
-    steps = how.least_matches
+    blocks = lambda n, size: F.ceil(F.greatest(n / how.block, size / how.shingles)).cast("int")
+    bands = bands.filter("top.n < n").select(
+        "key", F.col("top.comp").alias("top"), blocks(F.col("n"), F.col("size")).alias("rights"),
+        blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("lefts"),
+    )
+    mixed = members.join(bands, "key").withColumn("other", F.col("comp") != F.col("top"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = ["id", "comp", "other", "sig", *(["shingles"] if exact else [])]
+    left = mixed.filter("other").select("key", own("lefts").alias("i"), copies("rights").alias("j"), F.lit(True).alias("left"), *held)
+    right = mixed.select("key", copies("lefts").alias("i"), own("rights").alias("j"), F.lit(False).alias("left"), *held)
+    found = (lambda table: _linked(table, how)) if exact else (lambda table: _likely(table, how))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        kept = None
         for batch in batches:
-            table = pa.Table.from_batches([*held, batch]).combine_chunks()
-            last = len(table) - _group_starts(table)[-1] if len(table) else 0  # may go on in the next batch
-            yield _compared(table.slice(0, len(table) - last), steps)
-            held = table.slice(len(table) - last).to_batches()
-        if held:
-            yield _compared(pa.Table.from_batches(held), steps)
+            table = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks()
+            whole = int(_group_starts(table)[-1]) if len(table) else 0  # the last group may go on in the next batch
+            if whole:
+                yield found(table.slice(0, whole).to_batches()[0])
+            kept = next(iter(table.slice(whole).to_batches()), None)
+        if kept is not None:
+            yield found(kept)
 
     group = ["key", "i", "j"]
-    dealt = dealt.select(*group, "id", "comp", "mine", "sig").repartition(*group).sortWithinPartitions(*group)
-    pairs = dealt.mapInArrow(compare, "a bigint, b bigint, matches int")
-    return pairs.groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    dealt = left.union(right).repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(compare, "a bigint, b bigint" if exact else "key bigint, id bigint").distinct()
 
 
-def _group_starts(table: pa.Table) -> np.ndarray:
+def _group_starts(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     """Where the rows of each (key, i, j) start."""
     new = np.zeros(len(table), bool)
     new[:1] = True
@@ -296,25 +332,75 @@ def _group_starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _compared(table: pa.Table, steps) -> pa.RecordBatch:
-    """The likely pairs of different components within each group of a sorted table."""
-    ids, comps, part, i, j = (table.column(n).to_numpy() for n in ("id", "comp", "mine", "i", "j"))
-    signatures = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(table), -1 if len(table) else 1)
-    starts = _group_starts(table) if len(table) else np.zeros(0, int)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
-    for low, high in zip(starts, np.append(starts[1:], len(table))):
-        x, y = np.triu_indices(high - low, 1)
-        x, y = x + low, y + low
-        meet = (np.minimum(part[x], part[y]) == i[low]) & (np.maximum(part[x], part[y]) == j[low])
-        meet &= comps[x] != comps[y]
-        x, y = x[meet], y[meet]
-        for k in range(0, len(x), 1 << 15):
-            left, right = x[k : k + (1 << 15)], y[k : k + (1 << 15)]
-            alive, matches = surviving(signatures[left], signatures[right], steps)
-            left, right = ids[left[alive]], ids[right[alive]]
-            found.append((np.minimum(left, right), np.maximum(left, right), matches))
-    a, b, m = (np.concatenate(c) for c in zip(*found))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(m.astype(np.int32))], ["a", "b", "matches"])
+def _survivors(batch: pa.RecordBatch, how: NearDup) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each piece of each group, the group's first row and the rows of the likely pairs."""
+    ids, comps, other, left = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "comp", "other", "left"))
+    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(batch), how.hashes)
+    starts = _group_starts(batch)
+    for low, high in zip(starts, np.append(starts[1:], len(batch))):
+        lefts, rights = (low + np.flatnonzero(left[low:high] == side) for side in (True, False))
+        step = max(1, (1 << 18) // max(1, len(rights)))
+        for k in range(0, len(lefts), step):
+            x = np.repeat(lefts[k : k + step], len(rights))
+            y = np.tile(rights, len(lefts[k : k + step]))
+            meet = (comps[x] != comps[y]) & (~other[y] | (ids[x] < ids[y]))  # two others meet twice
+            x, y = x[meet], y[meet]
+            alive, _ = surviving(sig[x], sig[y], how.least_matches)
+            if len(alive):
+                yield low, x[alive], y[alive]
+
+
+def _likely(batch: pa.RecordBatch, how: NearDup) -> pa.RecordBatch:
+    """The rows, as ``key, id``, of which a likely pair is left."""
+    rows = [np.zeros(0, np.int64)]
+    for _, x, y in _survivors(batch, how):
+        rows += [np.unique(x), np.unique(y)]
+    return batch.select(["key", "id"]).take(pa.array(np.unique(np.concatenate(rows))))
+
+
+def _linked(batch: pa.RecordBatch, how: NearDup) -> pa.RecordBatch:
+    """For each group, ``a, b``: every row that verified links reach, with the first row they reach it from."""
+    values, offsets = _lists(batch.column("shingles"))
+    up = np.arange(len(batch))
+    for low, x, y in _survivors(batch, how):
+        keep = _reach(x, y, values, offsets, how.threshold)
+        x, y = x[keep], y[keep]
+        while True:  # the least row around, until both ends of every link have the same
+            least = np.minimum(up[x], up[y])
+            if (up[x] == least).all() and (up[y] == least).all():
+                break
+            for end in (x, y):
+                np.minimum.at(up, up[end], least)
+                np.minimum.at(up, end, least)
+            up = up[up]
+    up = up[up]
+    rows = np.flatnonzero(up != np.arange(len(batch)))
+    ids = batch.column("id").to_numpy()
+    return pa.RecordBatch.from_arrays([pa.array(ids[up[rows]]), pa.array(ids[rows])], ["a", "b"])
+
+
+def _reach(x: np.ndarray, y: np.ndarray, values: np.ndarray, offsets: np.ndarray, threshold: int) -> np.ndarray:
+    """Which pairs of sets reach the threshold: common members counted by products of 0/1 matrices."""
+    (rows_x, at_x), (rows_y, at_y) = (np.unique(side, return_inverse=True) for side in (x, y))
+    size = np.diff(offsets)
+    rows = np.union1d(rows_x, rows_y)
+    held = np.concatenate([values[offsets[r] : offsets[r + 1]] for r in rows])
+    _, column, often = np.unique(held, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(often > 1)
+    place = np.full(len(often), -1)
+    place[common] = np.arange(len(common))
+    column, row = place[column], np.repeat(np.arange(len(rows)), size[rows])
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros(len(x), np.int64)
+    of_x, of_y = np.searchsorted(rows, rows_x), np.searchsorted(rows, rows_y)
+    for k in range(0, len(common), 2048):
+        a, b = np.searchsorted(column, (k, k + 2048))
+        holds = np.zeros((len(rows), min(2048, len(common) - k)), np.float32)
+        holds[row[a:b], column[a:b] - k] = 1
+        both += (holds[of_x] @ holds[of_y].T)[at_x, at_y].astype(np.int64)  # below 2^24, so exact
+    return 100 * both >= threshold * (size[x] + size[y] - both)
 
 
 def near_duplicates(
@@ -330,7 +416,7 @@ def near_duplicates(
     not kept; else its component is null and it is kept. Ids must be whole numbers. An
     empty table gives an empty result; other columns are not read.
     """
-    scratch = Scratch("neardup")
+    scratch, spark = Scratch("neardup"), docs.sparkSession
     signed = scratch.write(signatures(docs, id_col, text_col, how), "signed")
     reps, reps_at = scratch.located(
         signed.filter("node IS NOT NULL AND doc_id IS NOT NULL")
@@ -339,31 +425,56 @@ def near_duplicates(
         "reps",
     )
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members, members_at = scratch.located(keyed.join(hubs, "key"), "members")
-
-    # every member against its band's hub
-    to_hub = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    likely_hub = scratch.write(likely(to_hub, reps, how), "to-hub")
-    needed = likely_hub.select(F.col("a").alias("id")).union(likely_hub.select(F.col("b").alias("id"))).distinct()
-    sets, sets_at = scratch.located(_sets_of(docs, needed, id_col, text_col, how), "sets")
-    links = scratch.write(_links(likely_hub, sets, how), "links")
-    found = components(links, scratch)
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    members, members_at = scratch.located(keyed.join(several, "key"), "members")
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
+
+    found, sets = members.select("id").distinct().withColumn("comp", F.col("id")), None
+    stars = members.filter("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
+
+    def add_sets(needed: DataFrame, turn: str) -> None:
+        """A document's set is taken from its text once."""
+        nonlocal sets
+        fresh = needed if sets is None else needed.join(sets.select("id"), "id", "left_anti")
+        fresh = scratch.write(fresh, f"needed-{turn}")
+        if sets is None or not fresh.isEmpty():
+            more = scratch.write(_sets_of(docs, fresh, id_col, text_col, how), f"sets-{turn}")
+            sets = more if sets is None else sets.union(more)
+
+    turn = 0
+    while True:  # hubs: as long as one in `worth` of a turn's likely pairs is a link
+        here, here_at = scratch.located(members.join(found, "id"), f"members-{turn}")
+        met = scratch.write(_one_hub_each(here, turn), f"met-{turn}")
+        if met.isEmpty():
+            here = None
+            break
+        near = scratch.write(likely(met, reps, how), f"likely-{turn}")
+        add_sets(ends(near), str(turn))
+        links = scratch.write(_links(near, sets, how), f"links-{turn}")
+        n_links = links.count()
+        if n_links:
+            found = components(stars.union(links), scratch)
+            stars = found.filter("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
+            found = members.select("id").distinct().join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            found = scratch.write(found, f"found-{turn}")
+        turn += 1
+        drop(spark, here_at)
+        if how.worth * n_links < near.count():
+            break
 
     # members whom their hubs have left in different components
-    placed = members.filter("id <> hub").select("key", "id").join(found, "id", "left")
-    placed = placed.withColumn("comp", F.coalesce("comp", "id"))
-    tried = likely_hub.select("a", "b")
-    cross = scratch.write(_within_bands(placed, reps, how).join(tried, ["a", "b"], "left_anti"), "cross")
-    if not cross.isEmpty():
-        needed = cross.select(F.col("a").alias("id")).union(cross.select(F.col("b").alias("id"))).distinct()
-        sets = scratch.write(_sets_of(docs, needed, id_col, text_col, how), "sets")
-        stars = found.filter("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
-        found = components(stars.union(_links(cross, sets, how)), scratch)
+    if here is not None:
+        sig = reps.select("id", "sig")
+        left = scratch.write(members.join(found, "id").join(sig, "id"), "left")
+        left = scratch.write(left.join(_within_bands(left, how, False), ["key", "id"]), "likely-left")
+        if not left.isEmpty():
+            add_sets(left.select("id").distinct(), "left")
+            links = scratch.write(_within_bands(left.join(sets, "id"), how, True), "links-left")
+            found = components(stars.union(links), scratch)
 
     classes = reps.select("node", "id").join(found, "id", "left").select("node", F.coalesce("comp", "id").alias("component_id"))
     classes = scratch.write(classes, "classes")
-    for path in (sets_at, members_at, reps_at):
+    for path in (members_at, reps_at):
         drop(docs.sparkSession, path)
     rows = signed.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from keepsight.llm.near_dup import NearDup, distinct_documents, near_duplicates
@@ -62,6 +63,33 @@ def test_chains_families_and_blocks(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
 
 
+def test_one_family_of_thousands(spark):
+    """Near copies around the threshold: many are no neighbours of a given hub, none may be lost."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for _ in range(5000):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            words[rng.randrange(120)] = f"c{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"d{k}-{j}" for j in range(60)) for k in range(500)]
+    how = NearDup(shingle=3, threshold=85)
+    rows = near_duplicates(docs_of(spark, texts), how).collect()
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    often = Counter(x for s in sets for x in s)
+    place = {x: k for k, x in enumerate(x for x, n in often.items() if n > 1)}
+    holds = np.zeros((len(sets), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        holds[k, [place[x] for x in s if x in place]] = 1
+    both, size = holds @ holds.T, np.array([len(s) for s in sets])
+    near = 100 * both >= 85 * (size[:, None] + size - both)
+    comp, before = np.arange(len(sets)), None
+    while before is None or (comp != before).any():  # the least neighbour's component, until nothing changes
+        before, comp = comp, np.where(near, comp, len(sets)).min(1).clip(max=comp)
+    assert [r["component_id"] for r in sorted(rows, key=lambda r: r["doc_id"])] == comp.tolist()
+
+
 def test_least_matches_grow_and_spare_true_pairs():
     how = NearDup(threshold=85)
     steps = how.least_matches
