@@ -50,3 +50,11 @@ def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         raise RuntimeError("components did not settle")
     found = edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     return found.union(found.select(F.col("comp").alias("id"), "comp").distinct())
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join the same vertices as ``links``, most of them straight to a least one.
+
+    One round of ``components``: links that make stars are settled by it, longer chains are not.
+    """
+    return _star(_star(links.filter("a <> b").select("a", "b").distinct(), True), False)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsight.llm import bitmap as bitmaps
-from keepsight.llm.components import components
+from keepsight.llm.components import components, contracted
 from keepsight.llm.storage import Scratch, drop
 from keepsight.llm.words import hashed_texts, list_column, mix, windows
 
@@ -48,7 +48,7 @@ class NearDup:
     batch: int = 20
     block: int = 1024
     shingles: int = 1 << 20
-    worth: int = 16
+    worth: int = 8
 
     @cached_property
     def bands(self) -> int:
@@ -262,19 +262,28 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets
 
 
-def _one_hub_each(members: DataFrame, turn: int) -> DataFrame:
-    """One pair ``a, b`` for each member (``key, id, comp``) of a band with several components.
+def _mixed_bands(members: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """``key, id, comp, hub, hub_comp`` of the members (``key, id``) of bands with several components.
 
-    A band's hub is a member of its largest component, another one each turn. A member of
-    another component meets one hub of its bands, the one that all would choose.
+    A band's hub is a member of its largest component, another one each turn. ``found`` has
+    the ``id, comp`` of who is linked; another document is its own component.
     """
-    drawn = lambda c: F.xxhash64(F.col(c), F.lit(turn))
-    each = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(drawn("id").alias("by"), "id")).alias("hub"))
+    here = members.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    each = here.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(_drawn("id", turn)).alias("hub"))
     hubs = each.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "hub", "comp")).alias("top"))
     hubs = hubs.filter("parts > 1").select("key", F.col("top.hub.id").alias("hub"), F.col("top.comp").alias("hub_comp"))
-    met = members.join(hubs, "key").filter("comp <> hub_comp")
-    chosen = met.groupBy("id").agg(F.min(F.struct(drawn("hub").alias("by"), "hub")).alias("hub"))
-    return chosen.select(F.least("id", "hub.hub").alias("a"), F.greatest("id", "hub.hub").alias("b")).distinct()
+    return here.join(hubs, "key").select("key", "id", "comp", "hub", "hub_comp")
+
+
+def _drawn(column: str, turn: int):
+    return F.struct(F.xxhash64(F.col(column), F.lit(turn)).alias("by"), F.col(column).alias("id"))
+
+
+def _one_hub_each(mixed: DataFrame, turn: int) -> DataFrame:
+    """One pair ``a, b`` for each member outside a hub's component: it meets the one of its
+    bands' hubs that all would choose."""
+    met = mixed.filter("comp <> hub_comp").groupBy("id").agg(F.min(_drawn("hub", turn)).alias("hub"))
+    return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
 def _within_bands(members: DataFrame, how: NearDup, exact: bool) -> DataFrame:
@@ -429,8 +438,8 @@ def near_duplicates(
     members, members_at = scratch.located(keyed.join(several, "key"), "members")
     ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
 
-    found, sets = members.select("id").distinct().withColumn("comp", F.col("id")), None
-    stars = members.filter("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sets = None
+    links = members.filter("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
 
     def add_sets(needed: DataFrame, turn: str) -> None:
         """A document's set is taken from its text once."""
@@ -441,37 +450,29 @@ def near_duplicates(
             more = scratch.write(_sets_of(docs, fresh, id_col, text_col, how), f"sets-{turn}")
             sets = more if sets is None else sets.union(more)
 
-    turn = 0
+    turn, left = 0, members
     while True:  # hubs: as long as one in `worth` of a turn's likely pairs is a link
-        here, here_at = scratch.located(members.join(found, "id"), f"members-{turn}")
-        met = scratch.write(_one_hub_each(here, turn), f"met-{turn}")
-        if met.isEmpty():
-            here = None
+        found = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp"))
+        left = scratch.write(_mixed_bands(left.select("key", "id"), found, turn), f"mixed-{turn}")
+        near = scratch.write(likely(_one_hub_each(left, turn), reps, how), f"likely-{turn}")
+        n_near = near.count()
+        if n_near:
+            add_sets(ends(near), str(turn))
+            new = scratch.write(_links(near, sets, how), f"links-{turn}")
+            links = scratch.write(contracted(links.union(new)), f"contracted-{turn}")
+        if not n_near or how.worth * new.count() < n_near:
             break
-        near = scratch.write(likely(met, reps, how), f"likely-{turn}")
-        add_sets(ends(near), str(turn))
-        links = scratch.write(_links(near, sets, how), f"links-{turn}")
-        n_links = links.count()
-        if n_links:
-            found = components(stars.union(links), scratch)
-            stars = found.filter("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))
-            found = members.select("id").distinct().join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            found = scratch.write(found, f"found-{turn}")
         turn += 1
-        drop(spark, here_at)
-        if how.worth * n_links < near.count():
-            break
 
     # members whom their hubs have left in different components
-    if here is not None:
-        sig = reps.select("id", "sig")
-        left = scratch.write(members.join(found, "id").join(sig, "id"), "left")
-        left = scratch.write(left.join(_within_bands(left, how, False), ["key", "id"]), "likely-left")
-        if not left.isEmpty():
-            add_sets(left.select("id").distinct(), "left")
-            links = scratch.write(_within_bands(left.join(sets, "id"), how, True), "links-left")
-            found = components(stars.union(links), scratch)
-
+    found = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp"))
+    left = _mixed_bands(left.select("key", "id"), found, turn + 1).select("key", "id", "comp")
+    left = scratch.write(left.join(reps.select("id", "sig"), "id"), "left")
+    left = scratch.write(left.join(_within_bands(left, how, False), ["key", "id"]), "likely-left")
+    if not left.isEmpty():
+        add_sets(left.select("id").distinct(), "left")
+        links = links.union(scratch.write(_within_bands(left.join(sets, "id"), how, True), "links-left"))
+    found = components(links, scratch)
     classes = reps.select("node", "id").join(found, "id", "left").select("node", F.coalesce("comp", "id").alias("component_id"))
     classes = scratch.write(classes, "classes")
     for path in (members_at, reps_at):

@@ -98,7 +98,8 @@ def schedule(sources: DataFrame, scratch: Scratch) -> DataFrame:
     first, last = F.col("run") * many, F.least(F.col("blocks"), (F.col("run") + 1) * many) - 1
     before = F.col("blocks_before")
     cells = runs.select("at", "blocks_before", F.explode(F.sequence(before + first, before + last)).alias("cell"))
-    dealt = points.join(cells, "cell").select("slot", "at", "blocks_before")
+    # as many cells as blocks, though they come from few rows: not to be broadcast
+    dealt = points.hint("merge").join(cells.hint("merge"), "cell").select("slot", "at", "blocks_before")
     return ranked(dealt, ["at", "slot"], scratch, "slots").select(
         "slot", "at", (F.col("rank") - F.col("blocks_before")).alias("block")
     )
@@ -147,5 +148,5 @@ def mixed(
         "at", "block", (F.col("_a") - F.col("block") * width).alias("offset"),
         "row", (F.col("_a") - F.col("low")).alias("start"), (F.col("_b") - F.col("_a")).alias("length"),
     )
-    pieces = pieces.join(schedule(sources, scratch), ["at", "block"]).select("slot", "offset", "row", "start", "length")
+    pieces = pieces.hint("merge").join(schedule(sources, scratch).hint("merge"), ["at", "block"]).select("slot", "offset", "row", "start", "length")
     return rows.select("row", "doc_id", "source", "size", "source_size", "target"), pieces
