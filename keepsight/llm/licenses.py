@@ -94,6 +94,9 @@ SENTENCES = [
     ("proprietary", "no part", r"no part of this (?:work|publication|book) may be (?:reproduced|used)"),
     ("copyright", "copyright", r"copyright (?:\(c\)|©|\d{4})(?:[ ,]*(?:\(c\)|©|\d{4}(?:-\d{2,4})?))*"),
     ("copyright", "©", r"© ?\d{4}"),
+    ("gpl", "gplv", r"\bgplv[123](?:\.0)?\+?"),
+    ("lgpl", "lgplv", r"\blgplv[23](?:\.[01])?\+?"),
+    ("agpl", "agplv", r"\bagplv[13](?:\.0)?\+?"),
 ]
 
 _CC = ("by-nc-nd", "by-nc-sa", "by-nc", "by-nd", "by-sa", "by")
@@ -144,18 +147,40 @@ class Match:
     rule: int
 
 
+def _wrapped(pattern: str) -> str:
+    """The pattern with each blank outside a class matching white space, line ends and comment marks of any length.
+
+    License texts are wrapped, and often stand in a comment.
+    """
+    gap, out, inside, k = r"[\s*#/;]", [], False, 0
+    while k < len(pattern):
+        c, more = pattern[k], pattern[k + 1 : k + 2]
+        if c == "\\":
+            out.append(c + more)
+            k += 2
+            continue
+        inside = c != "]" if inside else c == "["
+        if c == " " and not inside:
+            c = gap + ("*" if more in ("*", "?") and more else "+")
+            k += more in ("*", "?", "+") and more != ""
+        out.append(c)
+        k += 1
+    return "".join(out)
+
+
 class Scanner:
-    """The compiled rules and one automaton of their keywords."""
+    """The compiled rules and one automaton of the first words of their keywords."""
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
-        self.compiled = [re.compile(r.pattern) for r in rules]
+        self.compiled = [re.compile(_wrapped(r.pattern)) for r in rules]
         by_keyword: dict[str, list[int]] = {}
         for k, r in enumerate(rules):
             by_keyword.setdefault(r.keyword, []).append(k)
         self.words = ahocorasick.Automaton()
         for keyword, numbers in by_keyword.items():
-            self.words.add_word(keyword, numbers)
+            first = keyword.split()[0]  # what follows may stand on the next line
+            self.words.add_word(first, self.words.get(first, []) + numbers)
         self.words.make_automaton()
 
     def matches(self, text: str) -> list[Match]:
@@ -183,7 +208,7 @@ def suppressed(found: list[Match]) -> list[Match]:
     for m in found:
         at = bisect_left(kept, key(m), key=key)
         inside = (at < len(kept) and kept[at].start == m.start) or (at and kept[at - 1].end >= m.end)
-        around = at < len(kept) and kept[at].end <= m.end
+        around = (at < len(kept) and kept[at].end <= m.end) or (at and kept[at - 1].start == m.start)
         if not inside and not around:
             insort(kept, m, key=key)
     return kept

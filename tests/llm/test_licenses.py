@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+
+import pytest
 import re
 
 from keepsight.llm import licenses as li
@@ -61,3 +63,23 @@ def test_suppression_matches_brute_force():
 
 def test_empty(spark):
     assert li.license_scan(empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,label",
+    [
+        ("licensed under the\n * apache license,\n * version 2.0", "apache"),
+        ("permission is hereby granted, free\n# of charge, to any\n# person obtaining a copy", "mit"),
+        ("released under GPLv3 or later", "gpl"),
+        ("see LGPLv2.1", "lgpl"),
+        ("under the terms of the gnu general\r\n   public license", "gpl"),
+    ],
+)
+def test_wrapped_texts_are_recognised(text, label):
+    matches = li.Scanner(li.default_rules()).matches(text.lower())
+    assert {m.label for m in matches} == {label}
+
+
+@pytest.mark.parametrize("text", ["the apache helicopter was licensed", "free of worry and of charge", "gpl is short", "a public road, a general"])
+def test_other_texts_are_left_alone(text):
+    assert li.Scanner(li.default_rules()).matches(text) == []
