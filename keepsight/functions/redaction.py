@@ -50,15 +50,6 @@ def redact_known(text: Column, secrets: Sequence[str]) -> Column:
     return text
 
 
-def redact_known_array(text: Column, secrets: Column) -> Column:
-    """As ``redact_known``, with each row's own ``array<string>`` of values."""
-    return F.aggregate(
-        F.coalesce(secrets, F.array().cast("array<string>")),
-        text,
-        lambda acc, value: F.replace(acc, value, F.lit(MARKER)),
-    )
-
-
 def redact_shapes(text: Column) -> Column:
     """Credential assignments, transport variables and e-mail addresses.
 

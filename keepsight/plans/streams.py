@@ -8,7 +8,7 @@ from keepsight.plans import tables as t
 from keepsight.plans.files import _written_log
 from keepsight.plans.history import _EXPECTED, _expected
 from keepsight.plans.registry import query
-from keepsight.plans.texts import shapes_sql
+from keepsight.plans.texts import known_sql, shapes_sql, tokens_in
 from keepsight.sources.shared import shared_path
 from keepsight.streaming import stateful, windows
 
@@ -173,6 +173,36 @@ def stream_redact(spark, sf_dir):
     return drained(windows.stream_redact(docs, ["text"]), "stream_redact")
 
 
+def _half_redacted(half: int, secrets: str) -> str:
+    vals = f"(SELECT coalesce(list(DISTINCT value ORDER BY value), []) AS vals FROM ({secrets}))"
+    return f"SELECT doc_id, {shapes_sql(known_sql('text'))} AS text FROM documents, {vals} WHERE doc_id % 2 = {half}"
+
+
+_TOKENS = "SELECT unnest(regexp_extract_all(text, '[0-9a-f]{40}')) AS value FROM documents"
+
+
+@query(
+    "stream_redact_growing",
+    f"{_half_redacted(0, _TOKENS + ' WHERE doc_id % 2 = 0')} UNION ALL {_half_redacted(1, _TOKENS)}",
+)
+def stream_redact_growing(spark, sf_dir):
+    """Documents and secrets come in two halves; the second batch knows the secrets of both."""
+    base = shared_path(spark, "growing")
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def store(batch, number):
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch-{number}")
+
+    for half in (0, 1):
+        rows = docs.filter(F.col("doc_id") % 2 == half)
+        tokens_in(rows).write.mode("append").parquet(f"{base}/secrets")
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{base}/in")
+        out = windows.stream_redact_growing(stream, ["text"], lambda s: s.read.parquet(f"{base}/secrets"), store)
+        out.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(docs.schema).parquet(f"{base}/out/*")
+
+
 @query(
     "stream_interval_match",
     f"""WITH {_EXPECTED}, bounds AS (SELECT least(max(e.fire_at), (SELECT max(ts) FROM events)) AS top FROM expected e)

@@ -198,10 +198,15 @@ _SECRETS = """secrets AS (SELECT list(value ORDER BY length(value) DESC, value)
     SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9a-f]{40}')) AS value FROM documents))"""
 
 
-def _secrets(spark, sf_dir):
-    """Registered values: the 40-digit tokens that occur somewhere in the documents."""
+def tokens_in(docs):
+    """The 40-digit tokens that occur in ``text``."""
     found = F.regexp_extract_all("text", F.lit("[0-9a-f]{40}"), F.lit(0))
-    return t.table(spark, sf_dir, "documents").select(F.explode(found).alias("value")).distinct()
+    return docs.select(F.explode(found).alias("value")).distinct()
+
+
+def _secrets(spark, sf_dir):
+    """Registered values: the tokens of all documents."""
+    return tokens_in(t.table(spark, sf_dir, "documents"))
 
 
 @query(
@@ -211,7 +216,7 @@ def _secrets(spark, sf_dir):
 )
 def redact(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return redaction.redact(docs, ["text"], _secrets(spark, sf_dir), id_col="doc_id")
+    return redaction.redact(docs, ["text"], _secrets(spark, sf_dir))
 
 
 @query(
@@ -220,9 +225,11 @@ def redact(spark, sf_dir):
         FROM documents, secrets""",
 )
 def redact_many_secrets(spark, sf_dir):
-    """``redact`` by the join that any number of registered values takes."""
+    """``redact`` with values in blocks, as where they are too many for one pass."""
     docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return redaction.redact(docs, ["text"], _secrets(spark, sf_dir), id_col="doc_id", fold_limit=0)
+    found = _secrets(spark, sf_dir)
+    size = found.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+    return redaction.redact(docs, ["text"], found, block_bytes=max(size // 2, 1))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,18 +187,28 @@ def scan_file_inventory(
 
 
 def scan_quota_history(spark: SparkSession, path: str) -> DataFrame:
-    """Quota readings as a time series; an empty object gives nulls.
+    """Quota readings as a time series; an empty object gives nulls, and so does an unreadable line.
 
     A file is one object over any number of lines, or one object a line. The label
-    comes from a ``quota-<label>.json`` name, the time from the file.
+    comes from a ``quota-<label>.json`` name, the time from the file. Files of lines are
+    split like any text; only files without one line that is an object by itself, which
+    an indented object has none of, are read whole.
     """
-    whole = F.try_parse_json("value").isNotNull()
-    lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
-    files = spark.read.text(path, wholetext=True).select(
-        "_metadata", F.explode(F.when(whole, F.array("value")).otherwise(lines)).alias("value")
-    )
-    return files.withColumn("_reading", F.from_json("value", QUOTA)).select(
-        F.regexp_replace(file_stem(F.col("_metadata.file_name")), r"\Aquota-", "").alias("label"),
+    line = F.col("value")
+    lines = spark.read.text(path).select("_metadata", "value").filter(F.trim(line) != "")
+    alone = line.rlike(r"\A\{.*\}[ \t\r]*\z") & F.try_parse_json(line).isNotNull()
+    kinds = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_or(alone).alias("by_line"))
+    # paths of single readings; the driver lists these files for any read of them
+    whole = [r["file"] for r in kinds.filter("NOT by_line").collect()]
+    rows = lines
+    if whole:
+        kept = lines.join(kinds.filter("by_line"), F.col("_metadata.file_path") == F.col("file"), "left_semi")
+        paths = [unquote(urlsplit(f).path) if f.startswith("file:") else unquote(f) for f in whole]
+        single = spark.read.text(paths, wholetext=True).select("_metadata", "value").filter(F.trim(line) != "")
+        rows = kept.select("_metadata", "value").union(single)
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return rows.withColumn("_reading", F.from_json("value", QUOTA)).select(
+        F.regexp_replace(file_stem(name), r"\Aquota-", "").alias("label"),
         F.col("_metadata.file_modification_time").alias("taken_at"),
         "_reading.*",
     )

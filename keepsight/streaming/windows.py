@@ -1,4 +1,4 @@
-"""Stateless and windowed stream operators, all JVM-side."""
+"""Stateless and windowed stream operators; JVM-side but for the search of registered secrets."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from keepsight.functions.rates import BYTES_PER_MB, printed
-from keepsight.operators.redaction import redact_columns
+from keepsight.operators.redaction import redact
 from keepsight.sources.readers import parse_event_lines, run_name
 
 # Fixed value: how long a repeated message stays suppressed.
@@ -111,8 +111,30 @@ def stream_suppress_duplicates(
 
 
 def stream_redact(stream: DataFrame, cols: Sequence[str], secrets: Sequence[str] = ()) -> DataFrame:
-    """Redact text before it reaches any sink; the batch operator's own expression."""
-    return redact_columns(stream, cols, secrets)
+    """Redact text before it reaches any sink, with values known when the query starts.
+
+    Values that are registered while it runs: ``stream_redact_growing``.
+    """
+    return redact(stream, cols, secrets)
+
+
+def stream_redact_growing(
+    stream: DataFrame,
+    cols: Sequence[str],
+    secrets: Callable[[SparkSession], DataFrame],
+    write: Callable[[DataFrame, int], None],
+) -> DataStreamWriter:
+    """Redact each micro-batch with the values registered by then, and hand it to ``write``.
+
+    ``secrets`` reads the table of values (``value``); it is called anew for each batch, so
+    files added since are seen. ``write`` gets the batch and its number; a batch that is
+    repeated after a failure comes with the same number, and perhaps with more values.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        write(redact(batch, cols, secrets(batch.sparkSession)), number)
+
+    return stream.writeStream.foreachBatch(each)
 
 
 def stream_interval_match(

@@ -272,25 +272,33 @@ def test_marker_files_and_protected_paths(spark):
     assert got == {("root", "conf"), ("root", "tmp"), ("st", "conf")}
 
 
-def test_many_secrets_by_join_equals_the_fold(spark):
-    rng = random.Random(5)
-    words = ["abandon", "ability", "able", "zoo", "horse", "correct", "battery", "staple"]
+def folded(text, secrets):
+    """One usable value after another, longest first."""
+    for value in sorted({s for s in secrets if len(s) >= 8 and s not in "[redacted]"}, key=lambda v: (-len(v), v)):
+        text = text and text.replace(value, "[redacted]")
+    return text
+
+
+@pytest.mark.parametrize("many,block", [(10, 1 << 25), (501, 1 << 25), (501, 5000), (100_000, 1 << 25)])
+def test_any_number_of_secrets_equals_the_fold(spark, many, block):
+    rng = random.Random(many)
+    words = ["abandon", "ability", "äble", "zoo", "horse", "cörrect", "battery", "staple"]
     secrets = [" ".join(rng.choices(words, k=6)) for _ in range(20)]
     secrets += ["abc-defgh", "x-y-z-w-v", "........x", "battery-staple", "hunter2hunter2", "eyJhbGci" + "Q" * 9, "eyJhbGci" + "Z" * 9]
+    # values that arise only beside a marker, or from two of them
+    secrets += ["a[redacted]b", "[redacted][redacted]", "zz [redac", "ted] qq ww", "短い秘密の言葉です"]
+    hot = [f"sk-live-{k:07}" for k in range(many)]
     texts = [
-        (i, " ".join(rng.choices(words, k=20)) + rng.choice(["", "x", " "]) + rng.choice(secrets) + rng.choice(["y", "", "."]))
-        for i in range(200)
-    ] + [(900, ""), (901, None), (902, "no secret here")]
+        (i, " ".join(rng.choices(words, k=20)) + rng.choice(["", "x", " a", "zz "]) + rng.choice(secrets + hot[:9])
+         + rng.choice(["y", "", "b", " qq ww"]) + rng.choice(["", rng.choice(hot)]))
+        for i in range(300)
+    ] + [(900, ""), (901, None), (902, "no secret here"), (903, "ahunter2hunter2b"), (904, "短い秘密の言葉ですhunter2hunter2")]
     df = spark.createDataFrame(texts, "id long, text string")
-    table = spark.createDataFrame([(s,) for s in secrets] + [("short",), ("redacted",)], "value string")
-    fold = {r["id"]: r["text"] for r in redaction.redact(df, ["text"], table).collect()}
-    join = {r["id"]: r["text"] for r in redaction.redact(df, ["text"], table, "id", fold_limit=3).collect()}
-    assert fold == join and len(fold) == len(texts)
-    assert not any(s in (text or "") for text in fold.values() for s in secrets)
+    table = spark.createDataFrame([(s,) for s in secrets + hot] + [("short",), ("redacted",)], "value string")
+    rows = redaction.redact(df, ["text"], table, block_bytes=block).collect()
+    assert {r["id"]: r["text"] for r in rows} == {i: folded(x, secrets + hot) for i, x in texts}
     reasons = {r["value"]: r["reason"] for r in redaction.rejected_secrets(table).collect()}
     assert reasons == {"short": "too_short", "redacted": "inside_marker"}
-    with pytest.raises(ValueError, match="id_col"):
-        redaction.redact(df, ["text"], table, fold_limit=3)
 
 
 def test_credential_scan_reaches_into_arrays_and_to_any_depth(spark):

@@ -149,6 +149,19 @@ def test_quota_files(spark, tmp_path):
     assert ops.quota_reclaim(readings).first()["outcome"] == "unknown"
 
 
+def test_quota_lines_and_indented_objects_in_one_folder(spark, tmp_path):
+    (tmp_path / "quota-lines.json").write_text('{"total":1,"used":1,"free":0}\n{"total":2,"used":1,"free":1}\n\n{"total":3,')
+    (tmp_path / "quota-one line.json").write_text('{"total":4,"used":1,"free":3}')
+    (tmp_path / "quota-tall.json").write_text('{\n  "total": 5,\n  "used": 2,\n  "free": 3\n}\n')
+    (tmp_path / "quota-blank.json").write_text("\n")
+    rows = readers.scan_quota_history(spark, str(tmp_path))
+    got = sorted(((r["label"], r["total"], r["used"], r["free"]) for r in rows.collect()), key=str)
+    assert got == [
+        ("lines", 1, 1, 0), ("lines", 2, 1, 1), ("lines", None, None, None), ("one line", 4, 1, 3), ("tall", 5, 2, 3),
+    ]
+    assert rows.filter("taken_at IS NULL").isEmpty()
+
+
 def test_ledger_appends_and_refuses_unknown_verdicts(spark, tmp_path):
     path = str(tmp_path / "ledger")
     rows = lambda *vs: spark.createDataFrame(

@@ -130,6 +130,25 @@ def test_stream_and_batch_redact_alike(spark, tmp_path):
     assert "hunter2" not in str(got)
 
 
+def test_a_secret_added_between_two_batches_is_gone_from_the_second(spark, tmp_path):
+    feed, known = Feed(spark, tmp_path), str(tmp_path / "secrets")
+
+    def register(value):
+        spark.createDataFrame([(value,)], "value string").write.mode("append").parquet(known)
+
+    def store(batch, number):
+        batch.write.mode("overwrite").parquet(str(tmp_path / f"out/{number}"))
+
+    register("hunter2hunter2")
+    for turn in range(2):
+        feed.put(row("a", turn, message="hunter2hunter2 and hunter3hunter3"), row("b", turn, message="plain"))
+        out = windows.stream_redact_growing(feed.stream, ["message"], lambda s: s.read.parquet(known), store)
+        out.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        register("hunter3hunter3")
+    got = [sorted(r["message"] for r in spark.read.parquet(str(tmp_path / f"out/{k}")).collect()) for k in (0, 1)]
+    assert got == [["[redacted] and hunter3hunter3", "plain"], ["[redacted] and [redacted]", "plain"]]
+
+
 def test_event_log_stream_splits_its_sinks(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "r1.ndjson").write_text('{"message_type":"status"}\nnoise\n{"cut')
