@@ -20,6 +20,7 @@ from keepsight.functions.rates import (
     seed_days,
     throughput_verdict_col,
 )
+from keepsight.operators.order_stats import ntile_of, with_places
 from keepsight.operators.skew import DEFAULT_CHUNK, carry_seeds, salted_join, time_chunk
 
 # Run counters of a report, and the quota mark worth a second look.
@@ -439,57 +440,31 @@ def progress_eta(
 
 
 def rank_sources(
-    runs: DataFrame, metric: str = "bytes", source: str = "source"
+    runs: DataFrame, metric: str = "bytes", source: str = "source", tiles: int = 10
 ) -> DataFrame:
-    """Sources by total of ``metric``, largest first: rank, share of all, running total.
+    """Sources by total of ``metric``, largest first: rank, percent rank, tile, share of all, running total.
 
-    Rank and running total (ties included) depend only on a source's total, so
-    they are computed over distinct totals, in value ranges: first per range (at
-    most 171,000 of them), then inside each range.
+    Equal totals share a rank and a running total (all of them included); tiles go by
+    total, then source. A null metric counts as nothing; a source with no other is last.
     """
     totals = runs.groupBy(source).agg(F.sum(metric).cast("bigint").alias("total"))
-    values = totals.groupBy("total").agg(F.count(F.lit(1)).alias("_n")).withColumns(
-        {"_sum": F.col("total") * F.col("_n"), "_range": _value_range(F.col("total"))}
-    )
-    ranges = values.groupBy("_range").agg(
-        F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum")
-    )
-    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    # bounded: one row per value range, whatever the number of sources
-    heads = ranges.select(
-        "_range",
-        F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n_above"),
-        F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_sum_above"),
-        F.sum("_sum").over(everything).alias("_all"),
-    )
-    down = Window.partitionBy("_range").orderBy(F.desc("total"))
-    earlier = down.rowsBetween(Window.unboundedPreceding, -1)
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.join(heads, "_range").select(
-        "total",
-        (F.col("_n_above") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1).alias("rank"),
-        (F.col("_sum_above") + F.sum("_sum").over(upto)).cast("bigint").alias("running"),
-        "_all",
-    )
-    return salted_join(totals, ranked, ["total"], "inner", [source]).select(
+    order = [F.desc_nulls_last("total"), F.asc_nulls_first(source)]
+    placed = with_places(totals, order, ["total"])
+    equal = placed.groupBy("total").agg(
+        F.min("_place").alias("rank"), F.max("_upto_total").alias("running"), F.max("_rows").alias("_all_rows")
+    )
+    same = F.col("p.total").eqNullSafe(F.col("e.total"))
+    return placed.alias("p").join(equal.alias("e"), same).select(
         source,
-        "total",
+        "p.total",
         F.col("rank").cast("bigint").alias("rank"),
-        F.round(F.col("total") / F.col("_all"), 6).alias("share"),
-        "running",
+        F.when(F.col("_all_rows") > 1, (F.col("rank") - 1) / (F.col("_all_rows") - 1)).otherwise(F.lit(0.0)).alias("percent_rank"),
+        ntile_of(F.col("_place"), F.col("_rows"), tiles).alias("tile"),
+        F.round(F.col("p.total") / F.col("_all_total"), 6).alias("share"),
+        F.col("running").cast("bigint").alias("running"),
     )
 
 
-def _value_range(value: Column, digits: int = 4) -> Column:
-    """Order-preserving range of a bigint: its length in digits and leading digits."""
-    magnitude = F.length(F.abs(value).cast("string"))
-    lead = F.rpad(F.substring(F.abs(value).cast("string"), 1, digits), digits, "0").cast("int")
-    return F.signum(value).cast("int") * (magnitude * 10**digits + lead)
-
-
 def top_failing(reports: DataFrame, k: int, source: str = "source") -> DataFrame:
     """The ``k`` sources with the most failed files, ties by source."""
     return (

@@ -308,7 +308,7 @@ def staleness(spark, sf_dir):
        FROM (SELECT error, path, row_number() OVER (PARTITION BY error ORDER BY path) AS rn FROM (
          SELECT 'code ' || CAST(l_suppkey % 40 AS VARCHAR) AS error,
            '/data/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey AS path
-         FROM lineitem WHERE l_returnflag = 'R'))
+         FROM lineitem))
        GROUP BY error""",
 )
 def group_errors(spark, sf_dir):
@@ -317,7 +317,6 @@ def group_errors(spark, sf_dir):
     )
     failures = (
         t.table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_returnflag") == "R")
         .select(
             F.concat(F.lit("code "), (F.col("l_suppkey") % 40).cast("string")).alias("error"),
             path.alias("path"),
@@ -353,6 +352,8 @@ def progress_eta(spark, sf_dir):
     """WITH s AS (SELECT o_custkey AS source, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS total
          FROM orders GROUP BY 1)
        SELECT source, total, rank() OVER (ORDER BY total DESC) AS rank,
+         percent_rank() OVER (ORDER BY total DESC) AS percent_rank,
+         CAST(ntile(10) OVER (ORDER BY total DESC, source) AS INT) AS tile,
          round(total / sum(total) OVER (), 6) AS share,
          CAST(sum(total) OVER (ORDER BY total DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running
        FROM s""",
@@ -367,12 +368,11 @@ def rank_sources(spark, sf_dir):
 @query(
     "top_failing",
     """SELECT l_suppkey AS source, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS failed_files
-       FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
+       FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
 )
 def top_failing(spark, sf_dir):
     reports = (
         t.table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_returnflag") == "R")
         .select(
             F.col("l_suppkey").alias("source"), F.col("l_quantity").cast("bigint").alias("failed_files")
         )

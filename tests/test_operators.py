@@ -12,6 +12,7 @@ from keepsight.operators import events as ev
 from keepsight.operators import inventory as inv
 from keepsight.operators import quality as q
 from keepsight.operators import redaction, retention, schedule, verify
+from keepsight.operators.order_stats import with_places
 from keepsight.operators import runs as ops
 from keepsight.operators.mapping import map_with_errors
 from keepsight.operators.skew import salted_join
@@ -253,6 +254,31 @@ def test_rank_handles_ties_and_negative_totals(spark):
         mine = totals[row["source"]]
         assert row["rank"] == 1 + sum(v > mine for v in totals.values())
         assert row["running"] == sum(v for v in totals.values() if v >= mine)
+        assert row["percent_rank"] == (row["rank"] - 1) / (len(totals) - 1)
+
+
+@pytest.mark.parametrize("n,tiles", [(1, 10), (3, 10), (10, 3), (2000, 7)])
+def test_places_and_tiles_of_near_equal_totals(spark, n, tiles):
+    """A narrow band of values is spread over the ranges, so no task has twice its share."""
+    values = [(f"s{i:05}", 10**12 + i % 997) for i in range(n)]
+    got = {r["source"]: r for r in ops.rank_sources(spark.createDataFrame(values, "source string, bytes long"), tiles=tiles).collect()}
+    order = sorted(values, key=lambda v: (-v[1], v[0]))
+    sizes = [n // tiles + (k < n % tiles) for k in range(tiles)]
+    want = [k + 1 for k, size in enumerate(sizes) for _ in range(size)]
+    assert [got[s]["tile"] for s, _ in order] == want
+    placed = with_places(spark.createDataFrame(values, "source string, bytes long"), [F.desc("bytes"), F.col("source")], ["bytes"])
+    rows = sorted(placed.collect(), key=lambda r: r["_place"])
+    assert [r["source"] for r in rows] == [s for s, _ in order] and [r["_place"] for r in rows] == list(range(1, n + 1))
+    assert rows[-1]["_upto_bytes"] == rows[0]["_all_bytes"] == sum(v for _, v in values)
+    if n >= 2000:
+        dealt = placed.withColumn("_task", F.spark_partition_id()).groupBy("_task").count().collect()
+        assert max(r["count"] for r in dealt) < n / 2
+
+
+def test_sources_without_a_total(spark):
+    df = spark.createDataFrame([("a", None), ("b", 3), (None, 3)], "source string, bytes long")
+    got = {r["source"]: (r["rank"], r["tile"], r["running"]) for r in ops.rank_sources(df).collect()}
+    assert got == {None: (1, 1, 6), "b": (1, 2, 6), "a": (3, 3, 6)}
 
 
 def test_tokens_that_cannot_be_read_are_null(spark):
