@@ -38,7 +38,8 @@ class NearDup:
     """``shingle`` words, ``threshold`` of the Jaccard similarity in percent, ``rows`` of a
     band, the chance ``band_miss`` that a pair at the threshold shares no band, the chance
     ``miss`` at which a comparison is given up, hashes compared in a ``batch``, members of a
-    ``block`` and the ``shingles`` that they have at most together; hubs go on while one in ``worth`` of the likely pairs is a link."""
+    ``block`` and the ``shingles`` that they have at most together; hubs go on for
+    ``turns`` at most, while one in ``worth`` of the likely pairs is a link."""
 
     shingle: int = 5
     threshold: int = 80
@@ -49,6 +50,7 @@ class NearDup:
     block: int = 1024
     shingles: int = 1 << 20
     worth: int = 8
+    turns: int = 16
 
     @cached_property
     def bands(self) -> int:
@@ -280,15 +282,15 @@ def _drawn(column: str, turn: int):
 
 
 def _one_hub_each(mixed: DataFrame, turn: int) -> DataFrame:
-    """One pair ``a, b`` for each member outside a hub's component: it meets the one of its
-    bands' hubs that all would choose."""
+    """``id, met``: each member outside a hub's component, and the one of its bands' hubs
+    that all would choose."""
     met = mixed.filter("comp <> hub_comp").groupBy("id").agg(F.min(_drawn("hub", turn)).alias("hub"))
-    return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    return met.select("id", F.col("hub.id").alias("met"))
 
 
 def _within_bands(members: DataFrame, how: NearDup, exact: bool) -> DataFrame:
-    """Compares members (``key, id, comp, sig``; if ``exact`` also ``shingles``) of one band
-    and different components.
+    """Compares members (``key, id, comp, sig, met``; if ``exact`` also ``shingles``) of one band
+    and different components, but for the pairs that have ``met`` before.
 
     Who is not in a band's largest component is compared with the others. Both sides are
     cut into blocks by members and shingles, and each pair of blocks is one group, compared
@@ -310,7 +312,7 @@ def _within_bands(members: DataFrame, how: NearDup, exact: bool) -> DataFrame:
     mixed = members.join(bands, "key").withColumn("other", F.col("comp") != F.col("top"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = ["id", "comp", "other", "sig", *(["shingles"] if exact else [])]
+    held = ["id", "comp", "other", "sig", "met", *(["shingles"] if exact else [])]
     left = mixed.filter("other").select("key", own("lefts").alias("i"), copies("rights").alias("j"), F.lit(True).alias("left"), *held)
     right = mixed.select("key", copies("lefts").alias("i"), own("rights").alias("j"), F.lit(False).alias("left"), *held)
     found = (lambda table: _linked(table, how)) if exact else (lambda table: _likely(table, how))
@@ -345,6 +347,10 @@ def _survivors(batch: pa.RecordBatch, how: NearDup) -> Iterator[tuple[int, np.nd
     """For each piece of each group, the group's first row and the rows of the likely pairs."""
     ids, comps, other, left = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "comp", "other", "left"))
     sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(batch), how.hashes)
+    met = np.repeat(ids[:, None], how.turns, 1)  # nobody meets itself, so the own id stands for none
+    hubs, offsets = _lists(batch.column("met").fill_null([]))
+    row = np.repeat(np.arange(len(batch)), np.diff(offsets))
+    met[row, np.arange(offsets[0], offsets[-1]) - offsets[row]] = hubs[offsets[0] : offsets[-1]]
     starts = _group_starts(batch)
     for low, high in zip(starts, np.append(starts[1:], len(batch))):
         lefts, rights = (low + np.flatnonzero(left[low:high] == side) for side in (True, False))
@@ -355,8 +361,10 @@ def _survivors(batch: pa.RecordBatch, how: NearDup) -> Iterator[tuple[int, np.nd
             meet = (comps[x] != comps[y]) & (~other[y] | (ids[x] < ids[y]))  # two others meet twice
             x, y = x[meet], y[meet]
             alive, _ = surviving(sig[x], sig[y], how.least_matches)
-            if len(alive):
-                yield low, x[alive], y[alive]
+            x, y = x[alive], y[alive]
+            new = ~((met[x] == ids[y][:, None]).any(1) | (met[y] == ids[x][:, None]).any(1))
+            if new.any():
+                yield low, x[new], y[new]
 
 
 def _likely(batch: pa.RecordBatch, how: NearDup) -> pa.RecordBatch:
@@ -450,24 +458,28 @@ def near_duplicates(
             more = scratch.write(_sets_of(docs, fresh, id_col, text_col, how), f"sets-{turn}")
             sets = more if sets is None else sets.union(more)
 
-    turn, left = 0, members
-    while True:  # hubs: as long as one in `worth` of a turn's likely pairs is a link
+    turn, left, met = 0, members, None
+    while True:  # hubs: as long as one in `worth` of a turn's likely pairs is a link; blocks do the rest
         found = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp"))
         left = scratch.write(_mixed_bands(left.select("key", "id"), found, turn), f"mixed-{turn}")
-        near = scratch.write(likely(_one_hub_each(left, turn), reps, how), f"likely-{turn}")
+        chosen = _one_hub_each(left, turn)
+        pairs = chosen.select(F.least("id", "met").alias("a"), F.greatest("id", "met").alias("b")).distinct()
+        near = scratch.write(likely(pairs, reps, how), f"likely-{turn}")
+        met = chosen if met is None else met.union(chosen)
         n_near = near.count()
         if n_near:
             add_sets(ends(near), str(turn))
             new = scratch.write(_links(near, sets, how), f"links-{turn}")
             links = scratch.write(contracted(links.union(new)), f"contracted-{turn}")
-        if not n_near or how.worth * new.count() < n_near:
-            break
         turn += 1
+        if not n_near or turn == how.turns or how.worth * new.count() < n_near:
+            break
 
     # members whom their hubs have left in different components
     found = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp"))
-    left = _mixed_bands(left.select("key", "id"), found, turn + 1).select("key", "id", "comp")
-    left = scratch.write(left.join(reps.select("id", "sig"), "id"), "left")
+    left = _mixed_bands(left.select("key", "id"), found, turn).select("key", "id", "comp")
+    met = met.groupBy("id").agg(F.collect_set("met").alias("met"))  # one for each turn at most
+    left = scratch.write(left.join(reps.select("id", "sig"), "id").join(met, "id", "left"), "left")
     left = scratch.write(left.join(_within_bands(left, how, False), ["key", "id"]), "likely-left")
     if not left.isEmpty():
         add_sets(left.select("id").distinct(), "left")
