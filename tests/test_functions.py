@@ -111,12 +111,12 @@ def test_transport(spark):
 
 
 REDACTED = {
-    "pass = kJ8sNs0Yz2Q": "pass = [redacted]",
+    "pass = river7stone": "pass = [redacted]",
     "PassWord=x y": "PassWord = [redacted] y",
-    "RCLONE_CONFIG_IX_PASS=abc123xyz RCLONE_CONFIG_IX_TYPE=ix":
-        "RCLONE_CONFIG_IX_PASS=[redacted] RCLONE_CONFIG_IX_TYPE=ix",
-    "RESTIC_PASSWORD=hunter2hunter2": "RESTIC_PASSWORD=[redacted]",
-    "logging in as noel@example.com": "logging in as [redacted]",
+    "set RCLONE_CONFIG_COLD_PASS=q9w8e7 and RCLONE_CONFIG_COLD_KIND=disk":
+        "set RCLONE_CONFIG_COLD_PASS=[redacted] and RCLONE_CONFIG_COLD_KIND=disk",
+    "RESTIC_PASSWORD=blue-heron-41": "RESTIC_PASSWORD=[redacted]",
+    "send it to ops.team+1@host.example today": "send it to [redacted] today",
     "épass = x1": "épass = [redacted]",
     "my_pass = x1": "my_pass = x1",
     "token = ab cd": "token = [redacted] cd",
