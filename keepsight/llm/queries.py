@@ -105,9 +105,8 @@ def minhash_near_dup(spark, sf_dir):
 @query("op8_cross_entropy")
 def cross_entropy(spark, sf_dir):
     """Target: documents labelled good and not toxic; background: all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
-    return cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
 RUN_WORDS = 50
