@@ -72,23 +72,35 @@ VOCABULARIES = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "
 
 @query("op5_token_rollup")
 def token_rollup(spark, sf_dir):
+    return rolled_up(spark, table(spark, sf_dir, "documents"))
+
+
+def rolled_up(spark, docs):
     """Estimates are inserted, revised to exact counts, and later copies of a text deleted.
 
-    One batch is sent twice, as after a lost answer. What is left counts distinct texts.
+    One batch is sent twice, as after a lost answer. What is left counts distinct texts, each
+    in the group of its first row by id (null ids last), source and language (null first).
+    A null text is no copy of another; each such row stays, with no tokens.
     """
-    docs = table(spark, sf_dir, "documents")
     read = docs.select("doc_id", "source", "lang", F.octet_length("text").alias("bytes"), F.md5("text").alias("body"), "text")
     counted = Scratch("rollup").write(token_counts(read, VOCABULARIES), "counts")
-    each = counted.select("doc_id", "source", "lang", "bytes", "body", F.explode("counts").alias("tokenizer", "n"))
+    each = counted.select("source", "lang", "bytes", F.explode("counts").alias("tokenizer", "n"))
     of = lambda tokens: side("source", "lang", F.col("tokenizer"), tokens)
     estimate, exact, none = of(F.ceil(F.col("bytes") / 4)), of(F.col("n")), F.lit(None)
-    first = counted.groupBy("body").agg(F.min("doc_id").alias("doc_id"))
-    copies = each.join(first, ["body", "doc_id"], "left_anti").filter("body IS NOT NULL")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "source", "lang")
+    alike = counted.filter("body IS NOT NULL").groupBy("body", row.alias("row")).agg(
+        F.count("*").alias("rows"), F.first("counts").alias("counts")
+    )
+    first = alike.groupBy("body").agg(F.min("row").alias("first"))
+    again = F.col("rows") - F.when(F.col("row").eqNullSafe(F.col("first")), 1).otherwise(0)
+    copies = alike.join(first, "body").withColumn("times", again).filter("times > 0")
+    copies = copies.select("row.source", "row.lang", "times", F.explode("counts").alias("tokenizer", "n"))
     ledger = TokenLedger(spark, shared_path(spark, "token-ledger"))
     ledger.commit("estimates", each.select(none.alias("before"), estimate.alias("after")))
     for _ in range(2):
         ledger.commit("exact-counts", each.select(estimate.alias("before"), exact.alias("after")))
-    ledger.commit("copies", copies.select(exact.alias("before"), none.alias("after")))
+    ledger.compact()
+    ledger.commit("copies", copies.select(exact.alias("before"), none.alias("after"), "times"), "times")
     return ledger.totals()
 
 
