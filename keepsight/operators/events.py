@@ -29,7 +29,8 @@ def last_event_value(events: DataFrame, message_type: str, field: str) -> DataFr
     """Last usable value of a field per run: null and false do not count, the text "false" does."""
     value = _field(field)
     kind = F.schema_of_variant(F.try_variant_get("event", f"$.{field}", "variant"))
-    usable = value.isNotNull() & ~((kind == "BOOLEAN") & (value == "false"))
+    # the type is only asked of values that read "false", so never of a nested one
+    usable = value.isNotNull() & F.when(value == "false", kind != "BOOLEAN").otherwise(F.lit(True))
     return (
         events.filter(_type_is(message_type) & usable)
         .select("run_id", "line_no", value.alias("value"))

@@ -6,7 +6,6 @@ finds. Checks on one document are column expressions over a VARIANT: no shuffle.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -197,6 +196,19 @@ def _as(value: Column, kind: str) -> Column:
     return F.try_variant_get(value, "$", kind)
 
 
+def kind_of(value: Column) -> Column:
+    """``OBJECT`` or ``ARRAY``, or the type of a scalar, at the cost of one level.
+
+    The schema of a whole value is worked out by recursion, which one deep document
+    is enough to overflow.
+    """
+    return (
+        F.when(_as(value, "map<string,variant>").isNotNull(), F.lit("OBJECT"))
+        .when(_as(value, "array<variant>").isNotNull(), F.lit("ARRAY"))
+        .otherwise(F.schema_of_variant(value))
+    )
+
+
 def _is_text(kind: Column) -> Column:
     return kind == "STRING"
 
@@ -225,7 +237,7 @@ def _wrong_kind(rule: Rule, value: Column, kind: Column) -> Column:
     if rule.kind in ("texts", "tables"):
         want = "STRING" if rule.kind == "texts" else "OBJECT"
         items = F.try_variant_get(value, "$", "array<variant>")
-        fits = F.forall(items, lambda item: F.schema_of_variant(item).startswith(want))
+        fits = F.forall(items, lambda item: kind_of(item) == want)
         fits = fits & (F.size(items) > 0) if rule.kind == "tables" else fits
         return F.when(
             ~kind.startswith("ARRAY") | ~fits,
@@ -299,7 +311,7 @@ def _rule_finding(rule: Rule, doc: Column, prefix: Column) -> Column:
         return chain
 
     value = value_at(doc, rule.path)
-    return let(F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind")), judge)
+    return let(F.struct(value.alias("value"), kind_of(value).alias("kind")), judge)
 
 
 _FINDING = "struct<path:string,rule:string,message:string>"
@@ -347,7 +359,7 @@ def check_pattern(
 
 def _version_finding(doc: Column, version: int | str, path: str) -> Column:
     found = value_at(doc, path)
-    kind = F.schema_of_variant(found)
+    kind = kind_of(found)
     if isinstance(version, str):
         same = _is_text(kind) & (_as(found, "string") == version)
     else:
@@ -551,14 +563,17 @@ def credential_key_scan(
 ) -> DataFrame:
     """Scalar values under a name that looks like a credential, with their dotted path.
 
-    One chain of outer explodes yields each leaf of a document once, in one pass.
-    What is still nested after ``steps`` of them is walked to its end in Arrow
-    batches, so a document of any depth is searched whole.
+    ``json_col`` holds JSON text or a variant. One chain of outer explodes yields each
+    leaf of a document once, in one pass. What is still nested after ``steps`` of them
+    is walked to its end in Arrow batches, so a document of any depth is searched whole.
+    Text that the parser refuses has no findings.
     """
     spark = df.sparkSession
-    rows = df.select(id_col, F.try_parse_json(json_col).alias("_v0")).withColumn(
-        "_path", F.lit("")
-    ).withColumn("_key", F.lit(None).cast("string"))
+    parsed = isinstance(df.schema[json_col].dataType, T.VariantType)
+    first = F.col(json_col) if parsed else F.try_parse_json(json_col)
+    rows = df.select(id_col, first.alias("_v0")).withColumn("_path", F.lit("")).withColumn(
+        "_key", F.lit(None).cast("string")
+    )
     for depth in range(1, steps + 1):
         last = f"_v{depth - 1}"
         step = spark.tvf.variant_explode_outer(F.col(last).outer()).toDF("_p", "_k", f"_v{depth}")
@@ -576,11 +591,11 @@ def credential_key_scan(
             F.when(F.col("_p").isNull(), F.col(last)).otherwise(F.col(f"_v{depth}")).alias(f"_v{depth}"),
         )
     value = F.col(f"_v{steps}")
-    kind = F.schema_of_variant(value)
-    nested = kind.rlike(r"\A(?:OBJECT|ARRAY)") & ~kind.isin("OBJECT<>", "ARRAY<VOID>")
-    named = ~kind.rlike(r"\A(?:OBJECT|ARRAY)") & F.col("_key").rlike(CREDENTIAL_KEY)
+    within = [F.size(_as(value, kind)) for kind in ("map<string,variant>", "array<variant>")]
+    nested = F.coalesce(*within, F.lit(0)) > 0
+    named = F.coalesce(*within).isNull() & F.col("_key").rlike(CREDENTIAL_KEY)
     left = rows.filter(nested | named).select(
-        id_col, F.col("_path").alias("path"), F.when(nested, F.to_json(value)).alias("_rest")
+        id_col, F.col("_path").alias("path"), F.when(nested, value).alias("_rest")
     )
     schema = T.StructType([df.schema[id_col], T.StructField("path", T.StringType())])
     return left.mapInArrow(_walked, schema).withColumn("rule", F.lit("credential"))
@@ -591,7 +606,8 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, paths = [], []
         for n, (path, rest) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            found = [path] if rest is None else _credential_paths(path, json.loads(rest))
+            whole = rest is None or rest["value"] is None
+            found = [path] if whole else _credential_paths(path, rest["value"], rest["metadata"])
             at += [n] * len(found)
             paths += found
         yield pa.RecordBatch.from_arrays(
@@ -600,19 +616,40 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _credential_paths(path: str, node: object) -> list[str]:
-    found, ahead = [], [(path, node)]
+def _credential_paths(path: str, value: bytes, metadata: bytes) -> list[str]:
+    """Dotted paths of credentials in a variant, whose binary form is walked without recursion."""
+
+    def number(data: bytes, at: int, width: int) -> int:
+        return int.from_bytes(data[at : at + width], "little")
+
+    width = (metadata[0] >> 6) + 1
+    names = 1 + width * (number(metadata, 1, width) + 2)  # where the keys' bytes begin
+
+    def key(n: int) -> str:
+        start, end = (number(metadata, 1 + width * (n + k), width) for k in (1, 2))
+        return metadata[names + start : names + end].decode()
+
+    found, ahead = [], [(path, "", 0)]
     while ahead:
-        path, node = ahead.pop()
-        if isinstance(node, list):
-            ahead += [(f"{path}[{n}]", child) for n, child in enumerate(node) if isinstance(child, (dict, list))]
-        else:
-            for key, child in node.items():
-                below = f"{path}.{key}"
-                if isinstance(child, (dict, list)):
-                    ahead.append((below, child))
-                elif re.search(CREDENTIAL_KEY, key, re.ASCII):
-                    found.append(below)
+        path, name, at = ahead.pop()
+        kind, head = value[at] & 3, value[at] >> 2
+        if kind < 2:  # a scalar
+            if re.search(CREDENTIAL_KEY, name, re.ASCII):
+                found.append(path)
+            continue
+        large = head >> (4 if kind == 2 else 2) & 1
+        step, id_width = (head & 3) + 1, (head >> 2 & 3) + 1
+        size = number(value, at + 1, 4 if large else 1)
+        ids = at + 1 + (4 if large else 1)
+        offsets = ids + size * id_width if kind == 2 else ids
+        first = offsets + (size + 1) * step
+        for n in range(size):
+            child = first + number(value, offsets + n * step, step)
+            if kind == 2:
+                below = key(number(value, ids + n * id_width, id_width))
+                ahead.append((f"{path}.{below}", below, child))
+            else:
+                ahead.append((f"{path}[{n}]", "", child))
     return found
 
 
@@ -684,7 +721,10 @@ def _containment_findings(doc: Column, sources: Column) -> Column:
 
 
 def validate_config(docs: DataFrame, id_col: str = "doc_id", doc_col: str = "doc") -> DataFrame:
-    """Everything wrong with each configuration document, in one pass and without a shuffle."""
+    """Everything wrong with each configuration document, without a shuffle.
+
+    A document that is not a table, or that could not be read (null), has that one finding.
+    """
     doc = F.col(doc_col)
     single = _findings(
         _version_finding(doc, SCHEMA_VERSION, "schema_version"),
@@ -710,6 +750,11 @@ def validate_config(docs: DataFrame, id_col: str = "doc_id", doc_col: str = "doc
         let(sources, lambda found: _containment_findings(doc, found)),
     ]
     empty = F.array().cast(kind)
-    return _exploded(
-        docs, id_col, F.concat(*[F.coalesce(part.cast(kind), empty) for part in parts])
+    no_table = _findings(_finding("type", F.lit("expected a table"), F.lit("config")))
+    readable = F.coalesce(kind_of(doc) == "OBJECT", F.lit(False))
+    findings = F.concat(*[F.coalesce(part.cast(kind), empty) for part in parts])
+    message = "must not be in the document; supply it through the environment"
+    named = credential_key_scan(docs.filter(readable), doc_col, id_col)
+    return _exploded(docs, id_col, F.when(readable, findings).otherwise(no_table)).unionByName(
+        named.withColumn("message", F.lit(message))
     )

@@ -209,12 +209,12 @@ def coverage_of_keys(spark, sf_dir):
 _CREDENTIALS = [k for k in SECRET_KEYS if k not in ("provider", "cache_dir", "path")]
 
 
-@query(
-    "credential_key_scan",
-    f"""SELECT p_partkey AS doc_id, 'secrets.' || {_SEC_KEY} AS path, 'credential' AS rule FROM part
+_FOUND = f"""SELECT p_partkey AS doc_id, 'secrets.' || {_SEC_KEY} AS path, 'credential' AS rule FROM part
         WHERE {_SEC_KEY} IN ({", ".join(f"'{k}'" for k in _CREDENTIALS)})
-        UNION ALL SELECT p_partkey, 'source[1].tags[1].secret', 'credential' FROM part""",
-)
+        UNION ALL SELECT p_partkey, 'source[1].tags[1].secret', 'credential' FROM part"""
+
+
+@query("credential_key_scan", _FOUND)
 def credential_key_scan(spark, sf_dir):
     return q.credential_key_scan(_docs(spark, sf_dir), "json", "doc_id")
 
@@ -225,6 +225,7 @@ def credential_key_scan(spark, sf_dir):
         f"SELECT doc_id, path, rule, message FROM ({part})"
         for part in (
             _BOUNDS, _SOURCES, _VERSION, _CONDITION, _RETENTION, _DUPLICATES, _PROTECTED, _UNKNOWN,
+            f"SELECT *, 'must not be in the document; supply it through the environment' AS message FROM ({_FOUND})",
         )
     ),
 )

@@ -331,13 +331,19 @@ def test_credential_scan_reaches_into_arrays_and_to_any_depth(spark):
     docs = {
         1: '{"a":{"password":"x"},"secrets":{"provider":"env"},"tokens":["a","b"],"l":[{"API-key":1,"api_key":null}]}',
         2: '{"a":' * 10 + '{"token":1}' + "}" * 10, 3: "not json", 4: '{"secret":{}, "credential":[]}', 5: "[]",
+        6: '{"a":' * 990 + '{"token":1}' + "}" * 990, 7: "[" * 970 + '{"token":[],"b":{"my_secret":false}}' + "]" * 970,
+        8: '{"a":' * 8 + '{"token":{}}' + "}" * 8, 9: '{"a":' * 8 + '"x"' + "}" * 8, 10: '{"a":' * 7 + '{"password":2}' + "}" * 7,
     }
     df = spark.createDataFrame(list(docs.items()), "id long, j string")
     got = {(r["id"], r["path"], r["rule"]) for r in q.credential_key_scan(df, "j", "id").collect()}
     assert got == {
         (1, "a.password", "credential"), (1, "l[0].api_key", "credential"),
         (2, ".".join([*"a" * 10, "token"]), "credential"),
+        (6, ".".join([*"a" * 990, "token"]), "credential"), (7, "[0]" * 970 + ".b.my_secret", "credential"),
+        (10, ".".join([*"a" * 7, "password"]), "credential"),
     }
+    parsed = df.withColumn("v", F.try_parse_json("j"))
+    assert {(r["id"], r["path"], r["rule"]) for r in q.credential_key_scan(parsed, "v", "id").collect()} == got
 
 
 MINIMAL = '{{"repo":{{"path":"r"{repo}}},"source":[{{"name":"photos","path":"/data/photos","min_files":1000,"min_bytes":"10G","max_shrink_pct":50{source}}}{more}]{top}}}'
@@ -371,6 +377,12 @@ CASES = [
      {("bandwidth.timetable", "type"), ("bandwidth.window_stop", "pattern")}),
     ({"top": ',"limits":[]'}, {("limits", "type")}),
     ({"top": ',"reports":{"dir":" "}'}, {("reports.dir", "type")}),
+    ({"repo": ',"password":"x"'}, {("repo.password", "unknown_key"), ("repo.password", "credential")}),
+    ({"top": ',"secrets":{"provider":"env","api_key":"x"}'}, {("secrets.api_key", "unknown_key"), ("secrets.api_key", "credential")}),
+    ({"top": ',"secrets":{"provider":"env","variable":"RESTIC_PASSWORD"}'}, set()),
+    ({"source": ',"tags":["a",{"token":null}]'}, {("source[0].tags", "type"), ("source[0].tags[1].token", "credential")}),
+    ({"repo": ',"cache_dir":' + '{"a":' * 900 + '{"secret":1}' + "}" * 900},
+     {("repo.cache_dir", "type"), ("repo.cache_dir." + "a." * 900 + "secret", "credential")}),
 ]
 
 
@@ -380,7 +392,8 @@ def test_config_documents(spark):
         for i, (overlay, _) in enumerate(CASES)
     ]
     docs += [(100, "{}"), (101, '{"repo":{"path":"r"},"source":[]}')]
-    df = spark.createDataFrame(docs, "doc_id long, j string").withColumn("doc", F.parse_json("j"))
+    docs += [(102, "[]"), (103, '"{}"'), (104, "not json"), (105, None), (106, "null"), (107, '[{"token":1}]')]
+    df = spark.createDataFrame(docs, "doc_id long, j string").withColumn("doc", F.try_parse_json("j"))
     found = {}
     for r in q.validate_config(df).collect():
         found.setdefault(r["doc_id"], set()).add((r["path"], r["rule"]))
@@ -388,6 +401,7 @@ def test_config_documents(spark):
         assert found.get(i, set()) == expected, overlay
     assert found[100] == {("repo.path", "required"), ("source", "required")}
     assert found[101] == {("source", "type")}
+    assert all(found[i] == {("config", "type")} for i in range(102, 108))
 
 
 def test_map_with_errors_isolates_rows(spark):
