@@ -55,6 +55,11 @@ def seed_hashes(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(out)
 
 
+def _whole(length: int, how: Seeds) -> tuple[str, int]:
+    """The mask, and its number, that takes an item too short for any other as it is."""
+    return "1" * length, len(how.masks) + length
+
+
 def _keys() -> Iterator[int]:
     key = TaskContext.get().partitionId() << 40
     while True:
@@ -75,7 +80,10 @@ def item_seeds(items: DataFrame, id_col: str, text_col: str, how: Seeds) -> Data
                 at += n
                 for a, b in zip(first[:-1], first[1:]):
                     own = hashes[a:b]
-                    found = [seed_hashes(own, m, k) for k, m in enumerate(how.masks)]
+                    masks = [(m, k) for k, m in enumerate(how.masks)]
+                    if 0 < len(own) < how.shortest:
+                        masks = [_whole(len(own), how)]
+                    found = [seed_hashes(own, m, k) for m, k in masks]
                     words.append(own.astype(np.int64))
                     seeds.append(np.concatenate(found).astype(np.int64))
                     places.append(np.concatenate([np.arange(len(f)) for f in found]).astype(np.int32))
@@ -103,11 +111,15 @@ def _stretches(hits: np.ndarray, first: np.ndarray, around: int, span: int) -> t
     return text[begin], begin, np.append(begin[1:], len(hits))
 
 
-def candidates(docs: DataFrame, filled: np.ndarray, id_col: str, text_col: str, how: Seeds) -> DataFrame:
+def candidates(
+    docs: DataFrame, filled: np.ndarray, id_col: str, text_col: str, how: Seeds, short: tuple[int, ...] = ()
+) -> DataFrame:
     """``key, doc_id, start, words, seeds, at``: stretches of texts around seeds that pass the filter.
 
     ``at`` counts words within the stretch, ``start`` is its first word in the text.
+    ``short`` are the lengths of items that are looked for whole.
     """
+    masks = [*((m, k) for k, m in enumerate(how.masks)), *(_whole(n, how) for n in short)]
     shared = docs.sparkSession.sparkContext.broadcast(filled)
     span = max(map(len, how.masks))
 
@@ -120,7 +132,7 @@ def candidates(docs: DataFrame, filled: np.ndarray, id_col: str, text_col: str,
                 base += len(first) - 1
                 last_word = np.repeat(first[1:], np.diff(first))  # where each word's text ends
                 at, seeds = [], []
-                for k, mask in enumerate(how.masks):
+                for mask, k in masks:
                     seed = seed_hashes(hashes, mask, k)
                     places = np.flatnonzero(bitmaps.holds(marked, (seed & np.uint64(how.bits - 1)).astype(np.int64)))
                     places = places[places + len(mask) <= last_word[places]]
@@ -181,8 +193,9 @@ def overlaps(
     """``doc_id, item_id, start, length, agreeing``: verified passages of benchmark items in texts.
 
     ``start`` counts words of the document. Words are what lies between ASCII white space,
-    A-Z as a-z. An item of fewer words than the shortest mask, an empty or a null text has
-    no seed and so no overlap; repeated rows are found each by itself. Items and documents
+    A-Z as a-z. An item of fewer words than the shortest mask is found where all its words
+    stand unchanged; an empty or a null text has no overlap; repeated rows are found each by
+    itself. Items and documents
     may both be large: the filter has a fixed size, and seeds meet in a shuffle join.
     """
     scratch = Scratch("seeds")
@@ -191,7 +204,10 @@ def overlaps(
         "item", "seed", F.element_at("at", F.col("n") + 1).alias("item_at")
     )
     filled = bitmaps.build(seeds, "seed", how.bits)
-    found = scratch.write(candidates(docs, filled, id_col, text_col, how), "stretches")
+    length = F.size("words")
+    lengths = known.filter((length > 0) & (length < how.shortest)).select(length.alias("n")).distinct()
+    short = tuple(sorted(r["n"] for r in lengths.collect()))  # fewer than the shortest mask's words
+    found = scratch.write(candidates(docs, filled, id_col, text_col, how, short), "stretches")
     hits = found.select("key", F.posexplode("seeds").alias("n", "seed"), "at").select(
         "key", "seed", F.element_at("at", F.col("n") + 1).alias("at")
     )

@@ -77,3 +77,21 @@ def test_odd_rows(spark):
     left = decontaminated(docs, items)
     assert left.columns == docs.columns and left.count() == docs.count()
     assert Seeds().shortest == 7
+
+
+def test_items_shorter_than_a_mask_are_found_whole(spark):
+    items = ["capital is paris of france", "one", "a b c d e f", "never there at all", "", "seven words are enough for a mask"]
+    texts = [
+        "we know the Capital is Paris of\nFrance today", "capital is paris of", "of france capital is paris", "x a b c d e f",
+        "a b c d e g f", "one", "ones", "say one and one", "never there at", "", "so seven words are enough for a mask here",
+        " ".join(["pad"] * 300 + ["capital is paris of france"] + ["pad"] * 300),
+    ]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"], r["start"], r["length"]) for r in overlaps(docs_of(spark, texts), table).collect()}
+    want = set()
+    for d, text in enumerate(texts):
+        words = text.lower().split()
+        for i, item in enumerate(items):
+            own = item.split()
+            want |= {(d, i, k, len(own)) for k in range(len(words) - len(own) + 1) if own and words[k : k + len(own)] == own}
+    assert found == want and len(found) == 7
