@@ -32,21 +32,33 @@ def map_with_errors(
     )
     kind = to_arrow_type(value)
 
+    def single(value: object) -> tuple[pa.Array, str | None]:
+        try:
+            return pa.array([value], kind), None
+        except Exception as problem:  # noqa: BLE001
+            return pa.nulls(1, kind), str(problem)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, errors = [], []
             for row in batch.to_pylist():
                 try:
-                    values.append(pa.array([fn(row)], kind))
+                    values.append(fn(row))
                     errors.append(None)
                 except Exception as problem:  # noqa: BLE001 - isolating failures is the point
-                    values.append(pa.nulls(1, kind))
+                    values.append(None)
                     errors.append(str(problem))
+            try:
+                column = pa.array(values, kind)
+            except Exception:  # noqa: BLE001 - some result is not of the type: find which
+                parts, wrong = zip(*map(single, values))
+                column = pa.concat_arrays(parts)
+                errors = [e if e is not None else w for e, w in zip(errors, wrong)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(ordinal),
                     pa.array([e is None for e in errors], pa.bool_()),
-                    pa.concat_arrays(values) if values else pa.nulls(0, kind),
+                    column,
                     pa.array(errors, pa.string()),
                 ],
                 [ordinal, "success", "value", "error"],
