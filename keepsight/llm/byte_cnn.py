@@ -28,13 +28,13 @@ N_CLASSES = 155
 @dataclass(frozen=True)
 class Config:
     """The network and its training. The sample has at most ``per_language`` texts of a
-    language, of each at most ``sample_chars`` characters from a place its hash gives."""
+    language, and of all their windows at most ``windows`` a language, by hash."""
 
     widths: tuple[int, ...] = (2, 4, 6)
     filters: int = 8
     window: int = 256
     per_language: int = 300
-    sample_chars: int = 4096
+    windows: int = 4096
     epochs: int = 8
     batch: int = 64
     rate: float = 0.02
@@ -148,16 +148,22 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 
 
 def training_sample(docs: DataFrame, allowed: Column, text_col: str, lang_col: str, config: Config) -> DataFrame:
-    """``lang, text`` of a bounded sample: for each language, the texts of least hash."""
+    """``lang, window`` of a bounded sample: for each language, windows of least hash from
+    all places of the whole texts of least hash."""
     rows = docs.filter(allowed).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.filter(F.col(text_col).rlike(r"\p{L}"))
-    hashed = F.xxhash64(text_col)
-    start = F.pmod(hashed, F.greatest(F.char_length(text_col) - config.sample_chars, F.lit(0)) + 1).cast("int")
-    part = F.col(text_col).substr(start + 1, F.lit(config.sample_chars))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), part.alias("text"), hashed.alias("_hash"))
-    order = Window.partitionBy("lang").orderBy("_hash", "text")
-    rows = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= config.per_language)
-    return rows.orderBy("lang", "_n").select("lang", "text")
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    order = Window.partitionBy("lang").orderBy("_hash")
+    hashes = rows.select("lang", "_hash").distinct().withColumn("_n", F.row_number().over(order))
+    chosen = hashes.filter(F.col("_n") <= config.per_language).select("lang", "_hash")
+    data, size = F.col("_text").cast("binary"), config.window
+    starts = F.sequence(F.lit(0), F.octet_length("_text") - 1, F.lit(size))
+    cut = rows.join(chosen, ["lang", "_hash"]).dropDuplicates(["lang", "_hash"])
+    cut = cut.select("lang", "_hash", data.alias("_data"), F.posexplode(starts).alias("_at", "_start"))
+    cut = cut.select("lang", "_hash", "_at", F.substring("_data", F.col("_start") + 1, F.lit(size)).alias("window"))
+    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("_hash", "_at"), "_hash", "_at")
+    cut = cut.withColumn("_n", F.row_number().over(drawn)).filter(F.col("_n") <= config.windows)
+    return cut.orderBy("lang", "_n").select("lang", "window")
 
 
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +218,7 @@ def identify(
     an empty table gives an empty result. Language, source and id are never inputs.
     """
     sample = training_sample(docs, learn_from, text_col, lang_col, config).collect()
-    net = train([r["text"].encode() for r in sample], [r["lang"] for r in sample], config)
+    net = train([bytes(r["window"]) for r in sample], [r["lang"] for r in sample], config)
     if not sample:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     return predict(docs, net, id_col, text_col)
