@@ -49,6 +49,12 @@ def glob_to_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def literal_head(pattern: str) -> str | None:
+    """The folder that every path matching ``pattern`` lies below; None if it names none."""
+    literal = re.match(r"[^*?\[\]{}\\,]*", pattern).group()
+    return literal.rpartition("/")[0] if "/" in literal else None
+
+
 def any_regex(patterns: Sequence[str]) -> str:
     return r"(?s)\A(?:" + "|".join(glob_to_regex(p) for p in patterns) + r")\z"
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsight.functions.globs import any_regex, matches_any
+from keepsight.functions.globs import any_regex, glob_to_regex, literal_head, matches_any
 from keepsight.operators.skew import salted_join
 
 # Fixed value: default marker file.
@@ -39,6 +40,65 @@ def glob_filter_by_source(
     return df.filter(~F.coalesce(dropped, F.lit(False)))
 
 
+#: Patterns of one source and head that one alternation holds at most.
+PATTERNS_PER_REGEX = 64
+
+
+def glob_index(patterns: DataFrame, source: str = "source", pattern: str = "pattern") -> DataFrame:
+    """``source, head, regex``: a table of globs, keyed by the folders they start with.
+
+    ``head`` is the literal part of a glob up to its last slash before any wildcard, without
+    that slash; null if there is none, so the glob may match anywhere in its source. Globs of
+    one source and head are joined to alternations of a bounded number. Rows with a null are
+    no pattern.
+    """
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            globs = batch.column(1).to_pylist()
+            heads = [literal_head(g) for g in globs]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(heads, pa.string()), pa.array([glob_to_regex(g) for g in globs], pa.string())],
+                [source, "head", "regex"],
+            )
+
+    given = patterns.select(source, F.col(pattern).alias("_glob")).dropna().distinct()
+    kind = given.schema[source].dataType.simpleString()
+    single = given.mapInArrow(compiled, f"`{source}` {kind}, head string, regex string")
+    keys = [source, "head"]
+    parts = single.groupBy(*keys).agg(F.ceil(F.count("*") / PATTERNS_PER_REGEX).cast("int").alias("_parts"))
+    same = (F.col("l.head").eqNullSafe(F.col("r.head"))) & (F.col(f"l.{source}") == F.col(f"r.{source}"))
+    dealt = single.alias("l").join(parts.alias("r"), same).select("l.*", "_parts")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("regex"), F.col("_parts")))
+    any_of = F.array_join(F.array_sort(F.collect_list("regex")), "|")
+    return dealt.groupBy(*keys, "_part").agg(
+        F.concat(F.lit(r"(?s)\A(?:"), any_of, F.lit(r")\z")).alias("regex")
+    ).drop("_part")
+
+
+def glob_filter_by_table(
+    df: DataFrame, patterns: DataFrame, col: str = "path", source: str = "source", pattern: str = "pattern"
+) -> DataFrame:
+    """Rows that no exclude glob of their own source matches; ``patterns`` is a table of any size.
+
+    A path meets only globs whose literal head is one of its folders, found by an
+    equi-join on source and folder, so a regex runs on few paths. Each distinct path is
+    tried once. Rows with a null path or source stay, and repeated rows stay repeated.
+    """
+    index = glob_index(patterns, source, pattern)
+    path = F.col("_path")
+    paths = df.select(F.col(source).alias("_source"), F.col(col).alias("_path")).dropna().distinct()
+    anywhere = F.array(F.lit(None).cast("string"))
+    folders = F.slice(_prefixes(path), F.lit(1), F.size(F.split(path, "/")) - 1)
+    keyed = paths.withColumn("_head", F.explode(F.concat(anywhere, folders)))
+    rules = index.select(F.col(source).alias("_of"), F.col("head").alias("_under"), "regex")
+    rules = rules.withColumn("_under", F.coalesce("_under", F.lit("/")))  # no folder's name is a slash
+    keyed = keyed.withColumn("_head", F.coalesce("_head", F.lit("/")))
+    hit = (F.col("_source") == F.col("_of")) & (F.col("_head") == F.col("_under"))
+    dropped = keyed.join(rules, hit).filter(F.rlike(path, F.col("regex"))).select("_source", "_path").distinct()
+    return df.join(dropped, (F.col(source) == F.col("_source")) & (F.col(col) == F.col("_path")), "left_anti")
+
+
 def parent_dir(path: Column) -> Column:
     """Directory of a path, without the trailing slash; empty for a top-level name."""
     return F.regexp_extract(path, r"(?s)\A(.*)/[^/]*\z", 1)
@@ -202,6 +262,27 @@ def distinct_content(df: DataFrame, group: str, content: str, rsd: float = 0.01)
     )
 
 
+def content_sketches(df: DataFrame, by: Sequence[str], content: str, lg_k: int = 14) -> DataFrame:
+    """``by, items, sketch``: one mergeable distinct-count sketch per group, to be stored.
+
+    A sketch has at most 2^``lg_k`` cells, whatever the group holds, and is built map-side
+    from the contents as they come: nothing is made distinct before. Nulls are no content.
+    """
+    return df.groupBy(*by).agg(
+        F.count(content).alias("items"), F.hll_sketch_agg(F.sha2(content, 256), F.lit(lg_k)).alias("sketch")
+    )
+
+
+def merged_content(sketches: DataFrame, by: Sequence[str | Column]) -> DataFrame:
+    """``by, items, approx_contents`` over any coarser groups of stored ``content_sketches``.
+
+    The standard error is 1.04 / sqrt(2^lg_k), however many sketches are merged.
+    """
+    return sketches.groupBy(*by).agg(
+        F.sum("items").alias("items"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx_contents")
+    )
+
+
 def paths_in_both(left: DataFrame, right: DataFrame, path: str = "path") -> DataFrame:
     """Distinct paths present on both sides."""
     return left.select(path).intersect(right.select(path))

@@ -153,6 +153,42 @@ def run_summary(reports: DataFrame, dims: Sequence[str], accuracy: int = 10_000)
     )
 
 
+def run_sketches(reports: DataFrame, by: Sequence[str], k: int = 800) -> DataFrame:
+    """``by, runs, succeeded, failed_files, durations``: what a summary of any coarser groups needs.
+
+    ``durations`` is a quantile sketch of bounded size, built map-side; stored per day, it
+    spares later summaries the reports.
+    """
+    return reports.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.count_if(F.col("status") == "success").alias("succeeded"),
+        F.sum("failed_files").cast("bigint").alias("failed_files"),
+        F.kll_sketch_agg_bigint(F.col("duration_ms").cast("bigint"), F.lit(k)).alias("durations"),
+    )
+
+
+def summary_of(
+    sketches: DataFrame, dims: Sequence[str], sets: Sequence[Sequence[str]] | None = None
+) -> DataFrame:
+    """``run_summary`` from stored ``run_sketches``, over every subset of ``dims`` or the given ``sets``.
+
+    ``level`` is ``grouping_id``. The quantile sketches are merged upwards, so the
+    percentiles are within the sketch's rank error at every level; null without a duration.
+    """
+    runs, durations = F.sum("runs"), F.kll_merge_agg_bigint("durations")
+    grouped = sketches.cube(*dims) if sets is None else sketches.groupingSets([[F.col(c) for c in x] for x in sets], *dims)
+    merged = grouped.agg(
+        F.grouping_id().cast("bigint").alias("level"),
+        runs.alias("runs"),
+        F.round(F.sum("succeeded") / runs, 4).alias("success_share"),
+        F.sum("failed_files").cast("bigint").alias("failed_files"),
+        durations.alias("_durations"),
+    )
+    known = F.kll_sketch_get_n_bigint("_durations") > 0
+    at = lambda q: F.when(known, F.kll_sketch_get_quantile_bigint("_durations", F.lit(q)))
+    return merged.withColumns({"duration_p50_ms": at(0.5), "duration_p95_ms": at(0.95)}).drop("_durations")
+
+
 def wide_counts_total(reports: DataFrame, counters: Sequence[str] = RUN_COUNTERS) -> DataFrame:
     """Fleet total of each run counter, one row per counter.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keepsight.operators import inventory as inv
 from keepsight.plans import tables as t
 from keepsight.plans.registry import query
+from keepsight.sources.shared import shared_path
 
 INCLUDE = ["**/*.html", "*/{en,fr}/**"]
 EXCLUDE = ["**/spam-*/**", "m.*/**", "**/?"]
@@ -45,6 +46,34 @@ def glob_filter_by_source(spark, sf_dir):
     return inv.glob_filter_by_source(files, "path", BY_SOURCE)
 
 
+def _customer_patterns(spark, sf_dir):
+    key, home = F.col("c_custkey"), F.concat(F.lit("./c"), F.col("c_custkey").cast("string"))
+    globs = F.array(
+        F.when(key % 4 == 0, F.concat(home, F.lit("/1-*/**"))).when(key % 4 == 1, F.lit("**/*7")),
+        F.when(key % 4 < 3, F.concat(home, F.lit("/5-LOW/*[02468]"))),
+        F.when(key % 4 == 2, F.concat(home, F.lit("/3-MEDIUM/**"))),
+    )
+    customers = t.table(spark, sf_dir, "customer")
+    return customers.select(home.alias("source"), F.explode(F.array_compact(globs)).alias("pattern"))
+
+
+@query(
+    "glob_filter_by_table",
+    """SELECT source, path FROM (
+         SELECT './c' || o_custkey AS source, o_custkey % 4 AS k, o_orderpriority AS p, CAST(o_orderkey AS VARCHAR) AS f,
+           './c' || o_custkey || '/' || o_orderpriority || '/' || o_orderkey AS path FROM orders)
+       WHERE NOT (source IN (SELECT './c' || c_custkey FROM customer) AND (
+         (k = 0 AND p LIKE '1-%') OR (k = 1 AND f LIKE '%7') OR (k < 3 AND p = '5-LOW' AND CAST(f AS BIGINT) % 2 = 0)
+         OR (k = 2 AND p = '3-MEDIUM')))""",
+)
+def glob_filter_by_table(spark, sf_dir):
+    """Every customer is a source with globs of its own."""
+    source = F.concat(F.lit("./c"), F.col("o_custkey").cast("string"))
+    path = F.concat_ws("/", source, "o_orderpriority", F.col("o_orderkey").cast("string"))
+    files = t.table(spark, sf_dir, "orders").select(source.alias("source"), path.alias("path"))
+    return inv.glob_filter_by_table(files, _customer_patterns(spark, sf_dir))
+
+
 @query(
     "exclude_if_present",
     t.with_tables(
@@ -228,6 +257,27 @@ def distinct_content(spark, sf_dir):
     return counts.select("source", "contents", close.alias("sketch_agrees"))
 
 
+@query(
+    "distinct_content_weekly",
+    """SELECT event_type, date_trunc('week', ts) AS week, count(user_id || '/' || props) AS items, true AS sketch_agrees
+       FROM events GROUP BY ALL""",
+)
+def distinct_content_weekly(spark, sf_dir):
+    """Weeks from stored daily sketches, against exact counts, within five standard errors."""
+    content = F.concat_ws("/", F.col("user_id").cast("string"), "props")
+    content = F.when(F.col("user_id").isNotNull() & F.col("props").isNotNull(), content)
+    events = t.events(spark, sf_dir).select("event_type", F.date_trunc("day", "ts").alias("day"), content.alias("content"))
+    path = shared_path(spark, "content_sketches")
+    inv.content_sketches(events, ["event_type", "day"], "content").write.parquet(path)
+    week = F.date_trunc("week", "day").alias("week")
+    merged = inv.merged_content(spark.read.parquet(path), ["event_type", week])
+    exact = events.groupBy("event_type", week).agg(F.countDistinct("content").alias("contents"))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ("event_type", "week")]
+    close = F.abs(F.col("approx_contents") - F.col("contents")) <= F.col("contents") * (5 * 1.04 / 2**7) + 1
+    both = merged.alias("m").join(exact.alias("e"), same)
+    return both.select("m.event_type", "m.week", "items", close.alias("sketch_agrees"))
+
+
 @query(
     "paths_in_both",
     t.with_tables(

@@ -164,6 +164,33 @@ def run_summary(spark, sf_dir):
     )
 
 
+@query(
+    "run_summary_cube",
+    t.with_tables(
+        "reports",
+        body="""SELECT mode, status, failure_code, GROUPING(mode, status, failure_code) AS level,
+                  count(*) AS runs, round(count(*) FILTER (status = 'success') / count(*), 4) AS success_share,
+                  CAST(sum(failed_files) AS BIGINT) AS failed_files, true AS p50_close, true AS p95_close
+                FROM reports GROUP BY CUBE (mode, status, failure_code)""",
+    ),
+)
+def run_summary_cube(spark, sf_dir):
+    """Sketches of the finest groups merged upwards; percentiles lie between exact ones two percent off."""
+    dims, reports = ["mode", "status", "failure_code"], t.reports(spark, sf_dir)
+    summary = ops.summary_of(ops.run_sketches(reports, dims), dims)
+    near = {f"{n}_{k}": q for n, qs in (("p50", (0.48, 0.52)), ("p95", (0.93, 0.97))) for k, q in enumerate(qs)}
+    exact = reports.cube(*dims).agg(
+        F.grouping_id().cast("bigint").alias("level"),
+        *[F.percentile_approx("duration_ms", q, 1_000_000).alias(n) for n, q in near.items()],
+    )
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"e.{c}")) for c in [*dims, "level"]]
+    both = summary.alias("s").join(exact.alias("e"), same)
+    return both.select(
+        *[F.col(f"s.{c}") for c in [*dims, "level", "runs", "success_share", "failed_files"]],
+        *[F.col(f"s.duration_{n}_ms").between(F.col(f"{n}_0"), F.col(f"{n}_1")).alias(f"{n}_close") for n in ("p50", "p95")],
+    )
+
+
 COUNTERS = [
     ("scannedFiles", "l_linenumber", 3),
     ("selectedFiles", "l_linenumber", 2),

@@ -435,3 +435,59 @@ def test_schema_version_is_compared_by_type(spark):
     docs = [(1, '{"schema_version":1}'), (2, '{"schema_version":"1"}'), (3, "{}"), (4, '{"schema_version":2}')]
     df = spark.createDataFrame(docs, "doc_id long, j string").select("doc_id", F.parse_json("j").alias("doc"))
     assert sorted(r["doc_id"] for r in q.check_schema_version(df).collect()) == [2, 4]
+
+
+def test_globs_by_table_match_globs_by_dict(spark):
+    rng = random.Random(4)
+    globs = {
+        "a": ["d1/**", "d2/*.log", "**/x?", "d1/{e,f}/[a-c]*", "top", "d2/e/"], "b": ["**"], "none": [],
+        "many": [f"d{k % 3}/f{k}.*" for k in range(300)], "c": ["d1/e/*", "d*/e/y1", "\\*lit"],
+    }
+    names = ["x1", "y1", "top", "a.log", "bz", "*lit", "line\nbreak"] + [f"f{k}.txt" for k in range(0, 400, 7)]
+    rows = [
+        (rng.choice([*globs, "other", None]), "/".join([*rng.choice([[], ["d1"], ["d2"], ["d1", "e"], ["", "d0"], ["d0"]]), rng.choice(names)]))
+        for _ in range(3000)
+    ]
+    rows += [("a", None), ("b", "same"), ("c", "same"), ("c", "same"), ("a", ""), (None, None)]
+    files = spark.createDataFrame(rows, "source string, path string")
+    table = spark.createDataFrame(
+        [(s, g) for s, gs in globs.items() for g in gs] + [("a", None), (None, "**"), ("b", "**")], "source string, pattern string"
+    )
+    want = inv.glob_filter_by_source(files, "path", globs)
+    got = inv.glob_filter_by_table(files, table)
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert inv.glob_filter_by_table(files, table.limit(0)).count() == len(rows)
+
+
+def test_stored_sketches_merge_upwards(spark):
+    rows = spark.range(200_000).selectExpr(
+        "CASE WHEN id % 10 < 9 THEN 'hot' ELSE 'cold' END AS source", "id % 7 AS day", "CAST(id % 5000 AS STRING) AS content"
+    )
+    rows = rows.union(spark.createDataFrame([("empty", 0, None)], rows.schema))
+    daily = inv.content_sketches(rows, ["source", "day"], "content")
+    exact = {"hot": 4500, "cold": 500, "empty": 0}
+    for r in inv.merged_content(daily, ["source"]).collect():
+        assert abs(r["approx_contents"] - exact[r["source"]]) <= 0.04 * exact[r["source"]], r
+    assert inv.merged_content(daily.limit(0), ["source"]).count() == 0
+
+
+def test_summaries_of_sketches_match_exact_ranks(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice(["x", None]), rng.choice(["success", "failure"]), rng.randint(0, 10**6), 1) for _ in range(20_000)]
+    rows += [("idle", "x", "failure", None, None)]
+    reports = spark.createDataFrame(rows, "mode string, code string, status string, duration_ms bigint, failed_files int")
+    sketches = ops.run_sketches(reports, ["mode", "code"])
+    found = ops.summary_of(sketches, ["mode", "code"]).collect()
+    assert len(found) == 5 + 3 + 2 + 1
+    for r in found:
+        part = [x for x in rows if (r["level"] & 2 or x[0] == r["mode"]) and (r["level"] & 1 or x[1] == r["code"])]
+        known = sorted(x[3] for x in part if x[3] is not None)
+        assert r["runs"] == len(part)
+        for name, q_ in (("duration_p50_ms", 0.5), ("duration_p95_ms", 0.95)):
+            if not known:
+                assert r[name] is None
+            else:
+                assert abs(sum(x <= r[name] for x in known) / len(known) - q_) < 0.02
+    some = ops.summary_of(sketches, ["mode", "code"], [["mode"], []])
+    assert sorted(r["level"] for r in some.collect()) == [1, 1, 1, 3]
