@@ -110,7 +110,9 @@ def scan_run_reports(
     """``(reports, violations)``: reports that keep the schema, and what is wrong with the rest.
 
     One JSON report per line, or per file with ``whole_files``. Unknown keys,
-    wrong versions, unknown enum values and negative counts are violations.
+    wrong versions, unknown enum values and negative counts are violations; so are
+    times that are none and numbers beyond their type (rule ``value``), so a report that
+    keeps the schema has no value lost. A whole number may be written as ``2.0``.
     """
     text = spark.read.text(path, wholetext=whole_files).filter(F.trim("value") != "")
     # the digest names a report even where its own id is unreadable
@@ -132,17 +134,48 @@ def scan_run_reports(
             unreadable,
             check_required_type_range(good, REPORT_RULES),
             check_unknown_keys(good, nested),
+            _lost_values(good),
         ],
     )
     broken = violations.select("doc_id").distinct()
     reports = (
         good.join(broken, "doc_id", "left_anti")
-        .select(F.from_json("value", RUN_REPORT).alias("r"))
+        .select(_typed_report("doc").alias("r"))
         .select("r.*")
     )
     return reports, violations
 
 
+def _typed_report(doc: str) -> Column:
+    """The report's fields by their types; null where a value cannot be one of its type."""
+    return F.try_variant_get(F.col(doc), "$", f"struct<{RUN_REPORT}>")
+
+
+# Form of a time, and the fields that a type can lose.
+_TIME = r"\A\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)\z"
+_TIMES = ["startedAt", "finishedAt"]
+_NUMBERS = {
+    "durationMs": "bigint", "exitCode": "int",
+    **{f"counts.{name}": "bigint" for name in [*REPORT_COUNTS, "retriedOperations"]},
+}
+
+
+def _lost_values(docs: DataFrame) -> DataFrame:
+    """``doc_id, path, rule, message`` of texts that are no time and numbers outside their type."""
+    doc, found = F.col("doc"), []
+    for path in _TIMES:
+        text = F.try_variant_get(doc, f"$.{path}", "string")
+        bad = ~text.rlike(_TIME) | F.try_to_timestamp(F.upper(text)).isNull()
+        found.append(F.when(bad & F.schema_of_variant(F.try_variant_get(doc, f"$.{path}", "variant")).eqNullSafe("STRING"), F.struct(
+            F.lit(path).alias("path"), F.lit("value").alias("rule"), F.lit("is not a time").alias("message"))))
+    for path, kind in _NUMBERS.items():
+        number = F.try_variant_get(doc, f"$.{path}", "double")
+        beyond = number.isNotNull() & F.try_variant_get(doc, f"$.{path}", kind).isNull()
+        found.append(F.when(beyond, F.struct(
+            F.lit(path).alias("path"), F.lit("value").alias("rule"), F.lit(f"does not fit a {kind}").alias("message"))))
+    return docs.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("_v")).select("doc_id", "_v.*")
+
+
 _MANIFEST_LINE = r"(?s)\A([0-9a-f]{64}) [ *](.+)\z"
 
 

@@ -101,6 +101,23 @@ def test_run_reports(spark, tmp_path):
     assert {(r["path"], r["rule"]) for r in violations.collect()} == expected
 
 
+def test_report_values_are_read_or_refused(spark, tmp_path):
+    counts = dict.fromkeys(readers.REPORT_COUNTS, 4)
+    bad = {
+        "startedAt": report(startedAt="yesterday"),
+        "finishedAt": report(finishedAt="2024-02-30T00:00:00Z"),
+        "durationMs": report(durationMs=10**30),
+        "exitCode": report(exitCode=2**40),
+        "counts.scannedFiles": report(counts={**counts, "scannedFiles": 2**70}),
+    }
+    whole = report(runId="whole", durationMs=2.0, startedAt="2024-01-02T03:04:05+02:00")
+    (tmp_path / "r.ndjson").write_text("\n".join(json.dumps(d) for d in [whole, *bad.values()]))
+    reports, violations = readers.scan_run_reports(spark, str(tmp_path))
+    rows = reports.selectExpr("runId", "durationMs", "unix_seconds(startedAt) AS s", "finishedAt IS NOT NULL AS done").collect()
+    assert [tuple(r) for r in rows] == [("whole", 2, 1704157445, True)]
+    assert {(r["path"], r["rule"]) for r in violations.collect()} >= {(p, "value") for p in bad}
+
+
 def test_manifest_and_inventory(spark, tmp_path):
     left, right = tmp_path / "left", tmp_path / "right"
     for side in (left, right):
