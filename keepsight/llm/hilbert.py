@@ -8,6 +8,7 @@ readers of any one dimension which files they can skip.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepsight.llm.order import ranked
+from keepsight.llm.order import placed, ranked
 from keepsight.llm.storage import Scratch
 
 
@@ -60,52 +61,93 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
+def _is_text(df: DataFrame, name: str) -> bool:
+    kind = df.schema[name].dataType
+    plain = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    return not isinstance(kind, plain)
+
+
 def _as_number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column; text counts by its first six bytes."""
+    """A number in the order of a column that is not text."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     if isinstance(kind, T.BooleanType):
         return F.col(name).cast("int").cast("double")
-    head = F.rpad(F.hex(F.substring(F.col(name).cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+    return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+
+
+def _as_bytes(name: str) -> Column:
+    """A text column by its bytes, in whose order it is cut."""
+    return F.col(name).cast("string").cast("binary")
 
 
-def bin_bounds(df: DataFrame, dims: list[str], curve: Curve = Curve()) -> dict[str, list[float]]:
+def bin_bounds(df: DataFrame, dims: list[str], scratch: Scratch, curve: Curve = Curve()) -> dict[str, list]:
     """For each dimension, the values that cut all rows into about equal parts.
 
-    One aggregation with a partial sketch in every task; 2^bits - 1 numbers a dimension
-    reach the driver whatever the number of rows.
+    Numbers and times: one aggregation with a partial sketch in every task. Text: its
+    distinct values with their counts, in order of the whole values, cut where the rows
+    before them pass a share; a value that fills several parts is one bound. At most
+    2^bits - 1 values a dimension reach the driver whatever the number of rows.
     """
-    shares = [k / (1 << curve.bits) for k in range(1, 1 << curve.bits)]
+    parts = 1 << curve.bits
+    shares = [k / parts for k in range(1, parts)]
+    plain = [d for d in dims if not _is_text(df, d)]
     row = df.agg(
-        *[F.percentile_approx(_as_number(df, d), shares, curve.accuracy).alias(d) for d in dims]
+        F.count("*").alias("_rows"),
+        *[F.percentile_approx(_as_number(df, d), shares, curve.accuracy).alias(f"_{k}") for k, d in enumerate(plain)],
     ).first()
-    return {d: sorted(set(row[d] or [])) for d in dims}
-
-
-def with_curve(df: DataFrame, dims: list[str], curve: Curve = Curve(), out: str = "curve") -> DataFrame:
-    """``df`` with its rows' places on the curve; a null counts below every value."""
+    out = {d: sorted(set(row[f"_{k}"] or [])) for k, d in enumerate(plain)}
+    for k, d in enumerate(dims):
+        if d in out:
+            continue
+        values = df.select(_as_bytes(d).alias("value")).dropna().groupBy("value").agg(F.count("*").alias("weight"))
+        values = placed(values, ["value"], scratch, ("weight",), f"values-{k}")
+        total = values.agg(F.sum("weight")).first()[0] or 0
+        # the part that a value's first row lies in; a part's first value is its bound
+        part = F.expr(f"weight_before * {parts} DIV {max(total, 1)}").alias("part")
+        firsts = values.select(part, "value").groupBy("part").agg(F.min("value").alias("value"))
+        out[d] = sorted(bytes(r["value"]) for r in firsts.filter("part > 0").collect())
+    return {d: out[d] for d in dims}
+
+
+def _text_bins(column: pa.Array, bounds: list[bytes]) -> np.ndarray:
+    """For each value, how many bounds it reaches; a null reaches none."""
+    distinct = column.dictionary_encode()
+    bins = np.array([bisect_right(bounds, v) for v in distinct.dictionary.to_pylist()], np.int64)
+    if not len(bins):
+        return np.zeros(len(column), np.int64)
+    known = distinct.indices.is_valid().to_numpy(zero_copy_only=False)
+    return np.where(known, bins[distinct.indices.fill_null(0).to_numpy()], 0)
+
+
+def with_curve(
+    df: DataFrame, dims: list[str], curve: Curve = Curve(), out: str = "curve", scratch: Scratch | None = None
+) -> DataFrame:
+    """``df`` with its rows' places on the curve; a null counts as the least value."""
     if len(dims) * curve.bits > 63:
         raise ValueError("dims times bits must stay below 64")
-    bounds = [np.array(b) for b in bin_bounds(df, dims, curve).values()]
-    bits, names = curve.bits, [f"_dim{k}" for k in range(len(dims))]
+    bounds = list(bin_bounds(df, dims, scratch or Scratch("hilbert"), curve).values())
+    texts, bits, names = [_is_text(df, d) for d in dims], curve.bits, [f"_dim{k}" for k in range(len(dims))]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = np.zeros((len(batch), len(names)), np.int64)
             for k, name in enumerate(names):
-                value = batch.column(name).fill_null(float("-inf")).to_numpy(zero_copy_only=False)
-                points[:, k] = np.searchsorted(bounds[k], value, "right")
+                if texts[k]:
+                    points[:, k] = _text_bins(batch.column(name), bounds[k])
+                else:
+                    value = batch.column(name).fill_null(float("-inf")).to_numpy(zero_copy_only=False)
+                    points[:, k] = np.searchsorted(np.array(bounds[k]), value, "right")
             index = hilbert_index(points, bits).astype(np.int64)
             kept = [c for c in batch.schema.names if c not in names]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(index)], [*kept, out]
             )
 
-    numbered = df.withColumns({n: _as_number(df, d) for n, d in zip(names, dims)})
+    numbered = df.withColumns(
+        {n: _as_bytes(d) if text else _as_number(df, d) for n, d, text in zip(names, dims, texts)}
+    )
     return numbered.mapInArrow(place, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
 
 
@@ -137,14 +179,14 @@ def shard_rows(
         *extra,
     )
     measured = scratch.write(rows, "measured")
-    placed = with_curve(measured, dims, curve)
+    curved = with_curve(measured, dims, curve, scratch=scratch)
     order = ["curve", id_col, "text_crc32", *extra]
-    placed = ranked(placed, order, scratch)
+    in_order = ranked(curved, order, scratch)
     n = measured.count()
     # shard s holds the ranks from ceil(s * n / shards)
     shard = F.expr(f"CAST((rank * {shards}) DIV {max(n, 1)} AS INT)")
     first = F.expr(f"(CAST(shard AS BIGINT) * {n} + {shards - 1}) DIV {shards}")
-    return placed.withColumn("shard", shard).withColumn("slot", F.col("rank") - first)
+    return in_order.withColumn("shard", shard).withColumn("slot", F.col("rank") - first)
 
 
 def file_ranges(sharded: DataFrame, dims: list[str], run_rows: int = 1_000_000) -> DataFrame:
