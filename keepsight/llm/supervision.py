@@ -132,13 +132,9 @@ class Model:
         return gg / (gb + gg), bb / (bb + bg)
 
     def weights(self, rule: str) -> tuple[float, float, float]:
-        """Log-odds of a bad vote, of none and of a good vote.
-
-        A vote never counts against its own side, and silence says little either way.
-        """
+        """Log-odds of a bad vote, of none and of a good vote."""
         (gb, gg), (bb, bg) = self.on_good[rule], self.on_bad[rule]
-        none = math.log((1 - gb - gg) / (1 - bb - bg))
-        return min(math.log(gb / bb), 0.0), min(max(none, -SILENCE), SILENCE), max(math.log(gg / bg), 0.0)
+        return math.log(gb / bb), math.log((1 - gb - gg) / (1 - bb - bg)), math.log(gg / bg)
 
 
 def posterior(votes: dict[str, Column], model: Model) -> Column:
@@ -152,8 +148,6 @@ def posterior(votes: dict[str, Column], model: Model) -> Column:
 
 #: Where EM starts: rules mostly right. It also weighs in as a small share of the texts.
 PRIOR, ON_GOOD, ON_BAD, PSEUDO = 0.9, (0.01, 0.7), (0.4, 0.3), 0.01
-#: Most that a rule's abstaining moves the log-odds.
-SILENCE = 1.0
 
 
 def fit(patterns: DataFrame, rules: list[str], rounds: int = 40, tolerance: float = 1e-4) -> Model:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from keepsight.llm import supervision as s
@@ -54,6 +55,69 @@ def test_em_finds_the_accuracies_of_made_up_votes(spark):
         assert abs(model.accuracy(r)[0] - (0.9 - 0.05 * k)) < 0.05
 
 
+def numpy_em(votes, n, rounds=40, tolerance=1e-4):
+    """The same model fitted with arrays: share of good texts, chances, and each pattern's posterior."""
+    start = (s.PRIOR, np.tile(s.ON_GOOD, (votes.shape[1], 1)), np.tile(s.ON_BAD, (votes.shape[1], 1)))
+    model, weight, total = start, n.sum() * s.PSEUDO, n.sum()
+
+    def likelihoods(model):
+        sides = []
+        for share, on in ((model[0], model[1]), (1 - model[0], model[2])):
+            chance = np.where(votes == -1, on[:, 0], np.where(votes == 1, on[:, 1], 1 - on.sum(1)))
+            sides.append(share * chance.prod(1))
+        return sides
+
+    def objective(model):
+        out = (n * np.log(sum(likelihoods(model)))).sum()
+        for share, on, first in ((model[0], model[1], start[1]), (1 - model[0], model[2], start[2])):
+            first = np.column_stack([first, 1 - first.sum(1)])
+            out += weight * (first * np.log(np.column_stack([on, 1 - on.sum(1)]))).sum()
+        return out + weight * (s.PRIOR * np.log(model[0]) + (1 - s.PRIOR) * np.log(1 - model[0]))
+
+    climb = [objective(model)]
+    for _ in range(rounds):
+        good, bad = likelihoods(model)
+        p = good / (good + bad)
+        new = [((p * n).sum() + s.PRIOR * weight) / (total + weight)]
+        for mass, first in ((p * n, start[1]), ((1 - p) * n, start[2])):
+            each = np.column_stack([((votes == v) * mass[:, None]).sum(0) for v in (-1, 1)])
+            new.append((each + weight * first) / (mass.sum() + weight))
+        moved = max(np.abs(new[k] - model[k]).max() for k in (1, 2))
+        model = tuple(new)
+        climb.append(objective(model))
+        if moved < tolerance:
+            break
+    good, bad = likelihoods(model)
+    return model, good / (good + bad), climb
+
+
+def test_a_rule_worse_than_chance_is_turned_round(spark):
+    rng = np.random.default_rng(3)
+    good = rng.random(40_000) < 0.5
+    votes = np.column_stack([np.where(rng.random(len(good)) < r, good, ~good) * 2 - 1 for r in (0.85, 0.8, 0.25)])
+    votes[rng.random(votes.shape) < 0.2] = 0
+    patterns, n = np.unique(votes, axis=0, return_counts=True)
+    table = spark.createDataFrame([(*map(int, v), int(k)) for v, k in zip(patterns, n)], "a int, b int, c int, n bigint").coalesce(1)
+    model = s.fit(table, ["a", "b", "c"])
+    want, _, climb = numpy_em(patterns, n)
+    assert abs(model.prior - 0.5) < 0.02 and abs(model.prior - want[0]) < 1e-6
+    assert model.weights("c")[0] > 0 > model.weights("c")[2]
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(climb, climb[1:]))
+
+
+def test_kept_equals_em_with_arrays(spark):
+    rows = s.judged(documents(spark))
+    votes = s.default_rules(F.col("measures"))
+    rows = rows.select("kept", "base_failed", "quality", *[v.alias(k) for k, v in votes.items()]).collect()
+    found = np.array([[r[k] for k in votes] for r in rows])
+    patterns, which, n = np.unique(found, axis=0, return_inverse=True, return_counts=True)
+    _, quality, climb = numpy_em(patterns, n)
+    for r, q in zip(rows, quality[which.ravel()]):
+        assert abs(r["quality"] - q) < 1e-6
+        assert r["kept"] == (not r["base_failed"] and q >= 0.5)
+    assert all(b >= a - 1e-9 * abs(a) for a, b in zip(climb, climb[1:]))
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     rows = s.judged(docs).collect()
