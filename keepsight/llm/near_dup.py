@@ -297,7 +297,9 @@ def _within_bands(members: DataFrame, how: NearDup, exact: bool) -> DataFrame:
     as arrays; so a band costs its other members times its blocks. Signatures prune first.
     Not ``exact``: gives the ``key, id`` that a likely partner is left for. ``exact``:
     verifies those pairs on the full sets and gives ``a, b``, a star for each component
-    that a group's links make. Either way a group gives no more rows than it has.
+    that a group's links make. Either way a group gives no more rows than it has. With a
+    column ``keys``, the bands that each member is left in, a pair counts in the first band
+    that both are left in and in no other.
     """
     size = F.size("shingles") if exact else F.lit(0)
     each = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
@@ -312,7 +314,7 @@ def _within_bands(members: DataFrame, how: NearDup, exact: bool) -> DataFrame:
     mixed = members.join(bands, "key").withColumn("other", F.col("comp") != F.col("top"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = ["id", "comp", "other", "sig", "met", *(["shingles"] if exact else [])]
+    held = ["id", "comp", "other", "sig", "met", *(c for c in ("keys", "shingles") if c in members.columns)]
     left = mixed.filter("other").select("key", own("lefts").alias("i"), copies("rights").alias("j"), F.lit(True).alias("left"), *held)
     right = mixed.select("key", copies("lefts").alias("i"), own("rights").alias("j"), F.lit(False).alias("left"), *held)
     found = (lambda table: _linked(table, how)) if exact else (lambda table: _likely(table, how))
@@ -351,8 +353,11 @@ def _survivors(batch: pa.RecordBatch, how: NearDup) -> Iterator[tuple[int, np.nd
     hubs, offsets = _lists(batch.column("met").fill_null([]))
     row = np.repeat(np.arange(len(batch)), np.diff(offsets))
     met[row, np.arange(offsets[0], offsets[-1]) - offsets[row]] = hubs[offsets[0] : offsets[-1]]
+    key = batch.column("key").to_numpy()
+    keys = _lists(batch.column("keys")) if "keys" in batch.schema.names else None
     starts = _group_starts(batch)
     for low, high in zip(starts, np.append(starts[1:], len(batch))):
+        before = _earlier_bands(*keys, low, high, key[low]) if keys else None
         lefts, rights = (low + np.flatnonzero(left[low:high] == side) for side in (True, False))
         step = max(1, (1 << 18) // max(1, len(rights)))
         for k in range(0, len(lefts), step):
@@ -363,8 +368,29 @@ def _survivors(batch: pa.RecordBatch, how: NearDup) -> Iterator[tuple[int, np.nd
             alive, _ = surviving(sig[x], sig[y], how.least_matches)
             x, y = x[alive], y[alive]
             new = ~((met[x] == ids[y][:, None]).any(1) | (met[y] == ids[x][:, None]).any(1))
-            if new.any():
-                yield low, x[new], y[new]
+            x, y = x[new], y[new]
+            if before is not None and before.shape[1]:
+                first = np.ones(len(x), bool)
+                for column in range(before.shape[1]):
+                    code = before[x - low, column][:, None]
+                    first &= ~((code >= 0) & (code == before[y - low])).any(1)
+                x, y = x[first], y[first]
+            if len(x):
+                yield low, x, y
+
+
+def _earlier_bands(keys: np.ndarray, offsets: np.ndarray, low: int, high: int, key: int) -> np.ndarray:
+    """For rows ``low`` to ``high``, numbers of the bands below ``key`` that several of them are in, filled up with -1."""
+    part = keys[offsets[low] : offsets[high]]
+    row = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
+    part, row = part[part < key], row[part < key]
+    _, code, often = np.unique(part, return_inverse=True, return_counts=True)
+    several = often[code] > 1
+    code, row = code[several], row[several]
+    counts = np.bincount(row, minlength=high - low)
+    out = np.full((high - low, int(counts.max(initial=0))), -1, np.int64)
+    out[row, np.arange(len(row)) - (np.cumsum(counts) - counts)[row]] = code
+    return out
 
 
 def _likely(batch: pa.RecordBatch, how: NearDup) -> pa.RecordBatch:
@@ -482,6 +508,10 @@ def near_duplicates(
     left = scratch.write(left.join(reps.select("id", "sig"), "id").join(met, "id", "left"), "left")
     left = scratch.write(left.join(_within_bands(left, how, False), ["key", "id"]), "likely-left")
     if not left.isEmpty():
+        # sets are dealt only to the first band of each likely pair
+        keys = left.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+        left = scratch.write(left.join(keys, "id"), "likely-keys")
+        left = scratch.write(left.join(_within_bands(left, how, False), ["key", "id"]), "likely-first")
         add_sets(left.select("id").distinct(), "left")
         links = links.union(scratch.write(_within_bands(left.join(sets, "id"), how, True), "links-left"))
     found = components(links, scratch)
