@@ -57,8 +57,9 @@ def salted_join(
 ) -> DataFrame:
     """Join that spreads each left key over ``salts`` partitions.
 
-    ``right`` should hold few rows per key (it is repeated ``salts`` times); it
-    may still be broadcast, if the optimizer or AQE measures it to be small.
+    ``right`` should hold few rows per key: it is repeated ``salts`` times, and both sides
+    are shuffled and merged. The optimizer takes the repeated rows to be as many as before,
+    so without the hint it gathers and broadcasts them from the driver, however many they are.
     ``salt_by`` names left columns that differ between rows of one key. The salt
     is a hash of them, so a recomputed task yields the same rows.
     """
@@ -66,4 +67,4 @@ def salted_join(
         raise ValueError(f"salted_join cannot keep right rows single for how={how!r}")
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")

@@ -187,6 +187,13 @@ def test_salted_join_equals_join(spark):
         salted_join(left, right, ["k"], "full", ["id"])
 
 
+def test_salted_join_never_gathers_the_repeated_side(spark):
+    left = spark.range(500).selectExpr("id", "id % 7 AS k")
+    joined = salted_join(left, spark.range(9).selectExpr("id AS k", "id AS v"), ["k"], "left", ["id"])
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.filter("v = k").count() == 500
+
+
 def test_missed_runs_at_the_edges_of_the_tolerance(spark):
     fire = dt.datetime(2024, 1, 1, 2)
     expected = spark.createDataFrame([(j, fire) for j in "abcde"], "job string, fire_at timestamp")
