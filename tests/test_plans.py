@@ -43,6 +43,10 @@ def test_exchanges_are_counted(spark, name, exchanges):
     assert len(re.findall(r"Exchange hashpartitioning|Exchange SinglePartition", plan(spark, name))) <= exchanges
 
 
+def test_policies_of_many_sources_stay_off_the_driver(spark):
+    assert "Broadcast" not in plan(spark, "attach_policy")
+
+
 def test_top_rows_are_limited_before_the_shuffle(spark):
     for name in ("report_retention", "retention_plan", "group_errors"):
         assert re.search(r"WindowGroupLimit .*Partial", plan(spark, name)), name
