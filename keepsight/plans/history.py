@@ -181,8 +181,8 @@ def run_summary_cube(spark, sf_dir):
     near = {f"{n}_{k}": q for n, qs in (("p50", (0.48, 0.52)), ("p95", (0.93, 0.97))) for k, q in enumerate(qs)}
     exact = reports.cube(*dims).agg(
         F.grouping_id().cast("bigint").alias("level"),
-        *[F.percentile_approx("duration_ms", q, 1_000_000).alias(n) for n, q in near.items()],
-    )
+        F.percentile_approx("duration_ms", list(near.values()), 1_000_000).alias("near"),
+    ).select(*dims, "level", *[F.col("near")[k].alias(n) for k, n in enumerate(near)])
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"e.{c}")) for c in [*dims, "level"]]
     both = summary.alias("s").join(exact.alias("e"), same)
     return both.select(

@@ -47,6 +47,12 @@ def test_policies_of_many_sources_stay_off_the_driver(spark):
     assert "Broadcast" not in plan(spark, "attach_policy")
 
 
+def test_close_percentiles_come_from_one_digest(spark):
+    text = plan(spark, "run_summary_cube")
+    assert len(set(re.findall(r" percentile_approx\(duration_ms", text))) <= 1
+    assert text.count("percentile_approx(") <= 4
+
+
 def test_top_rows_are_limited_before_the_shuffle(spark):
     for name in ("report_retention", "retention_plan", "group_errors"):
         assert re.search(r"WindowGroupLimit .*Partial", plan(spark, name)), name
