@@ -187,6 +187,16 @@ def test_salted_join_equals_join(spark):
         salted_join(left, right, ["k"], "full", ["id"])
 
 
+def test_values_read_in_one_pass_equal_values_by_path(spark):
+    texts = ['{"a":{"b":1,"c":null},"d":"x"}', '{"a":[1],"d":{"b":2}}', '{"a":null}', "[1]", "3", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("doc", F.try_parse_json("t"))
+    paths = ["a", "a.b", "a.c", "d", "d.b", "a[0]"]
+    read = q.with_values(F.col("doc"), paths, lambda v: F.array(*[F.to_json(v[p]) for p in paths]))
+    by_path = F.array(*[F.to_json(q.value_at(F.col("doc"), p)) for p in paths])
+    rows = df.select(read.alias("x"), by_path.alias("y")).collect()
+    assert [r["x"] for r in rows] == [r["y"] for r in rows]
+
+
 def test_salted_join_never_gathers_the_repeated_side(spark):
     left = spark.range(500).selectExpr("id", "id % 7 AS k")
     joined = salted_join(left, spark.range(9).selectExpr("id AS k", "id AS v"), ["k"], "left", ["id"])
