@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Mapping
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepsight.functions.chars import let
 from keepsight.functions.classify import EXIT_CODE_BY_FAILURE
-from keepsight.operators.quality import Rule, check_required_type_range, check_unknown_keys
+from keepsight.operators.quality import (
+    Rule,
+    exploded,
+    finding,
+    rule_findings,
+    unknown_findings,
+)
 from keepsight.sources.schemas import (
     QUOTA,
     REPORT_COUNTS,
@@ -120,26 +127,15 @@ def scan_run_reports(
         F.sha2("value", 256).alias("doc_id"), "value", F.try_parse_json("value").alias("doc")
     )
     readable = F.col("doc").isNotNull() & F.ltrim("value").startswith("{")
-    unreadable = docs.filter(~readable).select(
-        "doc_id",
-        F.lit("").alias("path"),
-        F.lit("json").alias("rule"),
-        F.lit("not a JSON object").alias("message"),
-    )
-    good = docs.filter(readable)
-    nested = {k: v for k, v in REPORT_KEYS.items()}
-    violations = reduce(
-        DataFrame.unionByName,
-        [
-            unreadable,
-            check_required_type_range(good, REPORT_RULES),
-            check_unknown_keys(good, nested),
-            _lost_values(good),
-        ],
-    )
-    broken = violations.select("doc_id").distinct()
+    unreadable = F.array(finding("json", F.lit("not a JSON object"), F.lit("")))
+    wrong = let(F.col("doc"), lambda doc: F.concat(
+        rule_findings(doc, REPORT_RULES, F.lit(""), _lost_values), unknown_findings(doc, REPORT_KEYS)
+    ))
+    # equal texts have equal findings, so each line is judged where it lies, once
+    violations = exploded(docs, "doc_id", F.when(readable, wrong).otherwise(unreadable))
+    fits = F.when(F.when(readable, F.size(wrong) == 0), F.array("doc"))
     reports = (
-        good.join(broken, "doc_id", "left_anti")
+        docs.select(F.explode(fits).alias("doc"))
         .select(_typed_report("doc").alias("r"))
         .select("r.*")
     )
@@ -160,20 +156,20 @@ _NUMBERS = {
 }
 
 
-def _lost_values(docs: DataFrame) -> DataFrame:
-    """``doc_id, path, rule, message`` of texts that are no time and numbers outside their type."""
-    doc, found = F.col("doc"), []
+def _lost_values(values: Mapping[str, Column], kinds: Mapping[str, Column]) -> list[Column]:
+    """Findings for texts that are no time and numbers outside their type; all paths have a rule."""
+    found = []
     for path in _TIMES:
-        text = F.try_variant_get(doc, f"$.{path}", "string")
+        text = F.try_variant_get(values[path], "$", "string")
         bad = ~text.rlike(_TIME) | F.try_to_timestamp(F.upper(text)).isNull()
-        found.append(F.when(bad & F.schema_of_variant(F.try_variant_get(doc, f"$.{path}", "variant")).eqNullSafe("STRING"), F.struct(
-            F.lit(path).alias("path"), F.lit("value").alias("rule"), F.lit("is not a time").alias("message"))))
+        found.append(F.when(kinds[path].eqNullSafe("STRING") & bad, finding("value", F.lit("is not a time"), F.lit(path))))
     for path, kind in _NUMBERS.items():
-        number = F.try_variant_get(doc, f"$.{path}", "double")
-        beyond = number.isNotNull() & F.try_variant_get(doc, f"$.{path}", kind).isNull()
-        found.append(F.when(beyond, F.struct(
-            F.lit(path).alias("path"), F.lit("value").alias("rule"), F.lit(f"does not fit a {kind}").alias("message"))))
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("_v")).select("doc_id", "_v.*")
+        number, typed = (F.try_variant_get(values[path], "$", k) for k in ("double", kind))
+        beyond = typed.isNull() & number.isNotNull()
+        if kind == "bigint":  # a whole number of this kind fits as it is
+            beyond = F.coalesce(kinds[path] != "BIGINT", F.lit(False)) & beyond
+        found.append(F.when(beyond, finding("value", F.lit(f"does not fit a {kind}"), F.lit(path))))
+    return found
 
 
 _MANIFEST_LINE = r"(?s)\A([0-9a-f]{64}) [ *](.+)\z"

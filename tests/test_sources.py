@@ -118,6 +118,21 @@ def test_report_values_are_read_or_refused(spark, tmp_path):
     assert {(r["path"], r["rule"]) for r in violations.collect()} >= {(p, "value") for p in bad}
 
 
+def test_report_lines_are_judged_once_where_they_lie(spark, tmp_path):
+    counts = dict.fromkeys(readers.REPORT_COUNTS, 4)
+    docs = [report(), report(), report(counts=5, artifacts=None), report(counts={**counts, "failedFiles": "4"}), [1]]
+    (tmp_path / "r.ndjson").write_text("\n".join(json.dumps(d) for d in docs))
+    reports, violations = readers.scan_run_reports(spark, str(tmp_path))
+    for df in (reports, violations):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and text.count("FileScan text") == 1
+    assert [r["runId"] for r in reports.collect()] == ["r1", "r1"]
+    found = sorted((r["path"], r["rule"]) for r in violations.collect())
+    lost = [(f"counts.{name}", "required") for name in readers.REPORT_COUNTS]
+    below = [("artifacts.logPath", "required"), ("artifacts.manifestPath", "required")]
+    assert found == sorted([("", "json"), ("counts", "type"), ("artifacts", "type"), ("counts.failedFiles", "type"), *lost, *below])
+
+
 def test_manifest_and_inventory(spark, tmp_path):
     left, right = tmp_path / "left", tmp_path / "right"
     for side in (left, right):
