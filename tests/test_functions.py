@@ -22,6 +22,7 @@ from keepsight.functions import (
     throughput_verdict_col,
     timetable_error,
 )
+from keepsight.functions.chars import let
 from keepsight.functions.classify import EXIT_CODE_BY_FAILURE, failure_rules
 from keepsight.functions.cron import cron_error, cron_values
 from keepsight.functions.rates import printed
@@ -200,3 +201,12 @@ def test_sql_functions_agree(spark):
     )
     for row in got.collect():
         assert all(v for k, v in row.asDict().items() if k != "x"), row
+
+
+def test_a_named_value_is_used_as_it_is_and_its_use_is_not_typed_in_every_row(spark):
+    rows = spark.createDataFrame([(1, "a"), (None, None)], "n int, s string")
+    nested = let(F.struct("n", "s"), lambda v: let(F.concat(v["s"], v["s"]), lambda w: F.array(w, v["n"].cast("string"), w)))
+    out = rows.select(nested.alias("x"), let(F.col("n"), lambda n: n.isNull()).alias("y"))
+    assert [tuple(r) for r in out.collect()] == [(["aa", "1", "aa"], False), ([None, None, None], True)]
+    # an element taken from an array asks for the type of all that makes it, for each row
+    assert "transform(" not in out._jdf.queryExecution().optimizedPlan().toString()
