@@ -5,45 +5,54 @@ vocabulary, one set of pairs, one smoothing and one size, so they differ only in
 counted. A document's score is the mean over its words of the target model's loss less the
 background model's: the lower, the more the document reads like the target.
 
-- The vocabulary is the most frequent words; all others are one unknown word.
-- Every pair of words in every text is counted. Kept are the most frequent pairs; a pair
-  that is not kept backs off to its word, a word to its share of the corpus.
+- The vocabulary is every word that occurs twice or more; all others are one unknown word.
+- Every pair of words in every text is counted. A pair that occurs once in the corpus backs
+  off to its word, a word to its share of the corpus.
 - The corpus is larger than the target, and a larger model predicts better whatever it read.
   So background counts are thinned to the target's size, by a hash of the key.
 - A document is scored by what all others count: its own words are taken off both models
   first. So a pair that occurs once in the corpus never helps and is not kept.
+
+Neither the vocabulary nor the pairs have a bound, and no task holds a whole model. Documents
+lie in chunks of about ``Shape.chunk`` words. A chunk sends its distinct words, then its distinct
+pairs, with their counts to the ranges of keys they fall in; a range adds up what all chunks
+sent and answers each chunk with the totals of the keys it asked for. So a chunk is scored
+with exactly the part of both models that its own documents touch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsight.llm import bitmap
-from keepsight.llm.packed_counts import Counts, count_table, most_frequent, totals
+from keepsight.llm.packed_counts import Counts, added, blocks, pack, summed, twice, unpack
 from keepsight.llm.storage import Scratch, drop
-from keepsight.llm.words import cuts, mix, utf8, word_hashes
+from keepsight.llm.words import PIECE, cuts, mix, utf8, word_hashes
 
-BEGIN, UNKNOWN, KNOWN = 0, 1, 2  # numbers of words: before a text, any rare word, the first frequent one
+BEGIN, UNKNOWN, KNOWN = 0, 1, 2  # numbers of words: before a text, any word that occurs once, the first other one
+WORD_RANGES = 1 << 10
+SIDE = 1 << 5  # pairs lie in a grid of as many ranges of their first as of their second word
+HASHES = 1 << 64
 
 
 @dataclass(frozen=True)
 class Shape:
-    """``words`` and ``pairs`` bound the vocabulary and the kept pairs (8 and 24 bytes each).
-
-    ``pair_weight`` is the weight of the word model within the pair model, ``word_weight``
-    that of the corpus's shares within the word model.
+    """``pair_weight`` is the weight of the word model within the pair model, ``word_weight``
+    that of the corpus's shares within the word model. Whole texts of about ``chunk`` words
+    together are a chunk, whose pairs a task holds at once; no result depends on it.
     """
 
-    words: int = 1 << 17
-    pairs: int = 1 << 22
     pair_weight: float = 4.0
     word_weight: float = 64.0
+    chunk: int = 1 << 20
 
 
 def numbered(column: pa.Array, vocabulary: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -112,63 +121,100 @@ def thinned(n: np.ndarray, keys: np.ndarray, share: float) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Keys of pairs of word numbers below ``size``, in ``side`` x ``side`` cells that are ranges of keys.
+
+    So neither the pairs after one frequent word nor those before it fall in one range.
+    """
+
+    size: int
+    side: int
+
+    @property
+    def cell(self) -> int:
+        return -(-self.size // self.side)
+
+    @property
+    def space(self) -> int:
+        return (self.side * self.cell) ** 2
+
+    def parts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a word adds to a key as the first and as the second of its pair."""
+        cell, numbers = self.cell, numbers.astype(np.uint64)
+        above, below = numbers // cell, numbers % cell
+        return above * (self.side * cell * cell) + below * cell, above * (cell * cell) + below
+
+    def words(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = self.cell
+        above, below = keys // (cell * cell), keys % (cell * cell)
+        return above // self.side * cell + below // cell, above % self.side * cell + below % cell
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Of the whole corpus: the grid of its pairs, its words and the target's."""
+
+    grid: Grid
+    corpus: int
+    target: int
+
+    @property
+    def share(self) -> float:
+        return self.target / self.corpus if self.corpus else 0.0
+
+
 @dataclass
 class Models:
-    """Both models: sorted pair keys with their counts, sums by context, counts by word."""
+    """Both models as far as a chunk's documents touch them.
 
-    vocabulary: np.ndarray
+    ``numbers`` are the sorted numbers of its words, which its texts name by their place there;
+    ``pair`` holds the counts of sorted grid ``keys``, ``context`` and ``word`` those by place.
+    """
+
+    numbers: np.ndarray
     keys: np.ndarray
     pair: tuple[np.ndarray, np.ndarray]  # corpus, target
     context: tuple[np.ndarray, np.ndarray]  # corpus (thinned), target
     word: tuple[np.ndarray, np.ndarray]
-    base: np.ndarray
-    share: float
+    totals: Totals
     shape: Shape
 
-    @staticmethod
-    def of(vocabulary: np.ndarray, counts: Counts, shape: Shape) -> Models:
-        size = len(vocabulary) + KNOWN
-        keys, corpus, target = counts
-        single = keys >= np.uint64(size * size)
-        word = np.zeros((2, size), np.int64)
-        word[:, (keys[single] - np.uint64(size * size)).astype(np.int64)] = corpus[single], target[single]
-        keys, corpus, target = keys[~single].astype(np.int64), corpus[~single], target[~single]
-        total = word.sum(axis=1)
-        share = total[1] / total[0] if total[0] else 0.0
-        context = [np.bincount(keys // size, n, size) for n in (thinned(corpus, keys, share), target)]
-        base = (word[0] + 1) / (total[0] + size)
-        return Models(vocabulary, keys, (corpus, target), tuple(context), tuple(word), base, share, shape)
-
-    def losses(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean loss of each text under the target model, the same without the text, and the background model without it."""
-        size, shape = len(self.base), self.shape
+    def losses(self, ids: np.ndarray, first: np.ndarray, in_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean loss of each text under the target model and the background model, both without the text itself."""
+        size, share, shape, places = self.totals.grid.size, self.totals.share, self.shape, len(self.numbers)
+        total = self.totals.corpus, self.totals.target
         length = np.diff(first)
         text = np.repeat(np.arange(len(length)), length)
-        key = contexts(ids, first) * size + ids
         # each text's distinct pairs, with how often it holds the pair, the context and the word itself
-        pairs, own = np.unique(text * (size * size) + key, return_counts=True)
-        text, key = pairs // (size * size), pairs % (size * size)
-        context, word = key // size, key % size
+        pairs, own = np.unique(text * (places * places) + contexts(ids, first) * places + ids, return_counts=True)
+        text, key = pairs // (places * places), pairs % (places * places)
+        context, word = key // places, key % places
+        before, after = self.totals.grid.parts(self.numbers)
+        key = before[context] + after[word]
         at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
         kept = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-        of_context = _sums(text * size + context, np.where(kept, own, 0))
-        of_word = _sums(text * size + word, own)
+        of_context = _sums(text * places + context, np.where(kept, own, 0))
+        of_word = _sums(text * places + word, own)
         corpus, target = (np.where(kept, n[at], 0) if len(self.keys) else np.zeros(len(key), np.int64) for n in self.pair)
-        total = [n.sum() for n in self.word]
+        number = self.numbers[word]
+        key = self.numbers[context] * size + number
+        base = ((self.word[0] + 1) / (total[0] + size))[word]
 
         def loss(pair, of_h, of_w, n):
-            share = (of_w + shape.word_weight * self.base[word]) / (n + shape.word_weight)
+            share = (of_w + shape.word_weight * base) / (n + shape.word_weight)
             each = own * -np.log((pair + shape.pair_weight * share) / (of_h + shape.pair_weight))
             return np.bincount(text, each, len(length)) / np.maximum(length, 1)
 
         rest = lambda n, off: np.maximum(n - off, 0)
-        outside = loss(target, self.context[1][context], self.word[1][word], total[1])
-        left = rest(target, np.where(kept, own, 0))
-        inside = loss(left, np.maximum(rest(self.context[1][context], of_context), left), rest(self.word[1][word], of_word), rest(total[1], length[text]))
-        left = thinned(rest(corpus, np.where(kept, own, 0)), key, self.share)
-        of_h = np.maximum(self.context[0][context] - self.share * of_context, left)
-        of_w = thinned(rest(self.word[0][word], of_word), word + size * size, self.share)
-        return outside, inside, loss(left, of_h, of_w, self.share * rest(total[0], length[text]))
+        good = in_target[text]
+        left = rest(target, np.where(kept & good, own, 0))
+        of_h = np.maximum(rest(self.context[1][context], of_context * good), left)
+        inside = loss(left, of_h, rest(self.word[1][word], of_word * good), rest(total[1], (length * in_target)[text]))
+        left = thinned(rest(corpus, np.where(kept, own, 0)), key, share)
+        of_h = np.maximum(self.context[0][context] - share * of_context, left)
+        of_w = thinned(rest(self.word[0][word], of_word), number + size * size, share)
+        return inside, loss(left, of_h, of_w, share * rest(total[0], length[text]))
 
 
 def _sums(group: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -176,56 +222,259 @@ def _sums(group: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.bincount(at, n)[at] if len(at) else np.zeros(0)
 
 
-def of_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose id is in ``ids``. A bitmap of the ids, sized by their number, keeps most others' texts out of the join."""
-    ids = ids.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
-    keys = ids.select(F.xxhash64(id_col).alias("key"))
-    bits = 1 << min(28, max(20, (8 * keys.count()).bit_length()))
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap.build(keys, "key", bits))
+# Rows of all stages: what a block holds, the chunk it is of or for, its place there, its keys.
+ROW = "chunk bigint, kind int, place int, n int, block binary"
+CONTEXT, WORD, PAIR, MARK, TEXT, COUNT = range(6)
+WHOLE = -1  # in place of a chunk
+_ALL, _TARGET, _ALL_UNKNOWN, _TARGET_UNKNOWN = range(4)  # places of counts
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = bitmap.holds(shared.value, batch.column(batch.num_columns - 1).to_numpy())
-            yield batch.filter(pa.array(hit)).select(names)
 
-    names = rows.columns
-    place = bitmap.place(F.xxhash64(id_col), bits).alias("_place")
-    return rows.select("*", place).mapInArrow(passing, rows.schema).join(ids.hint("merge"), id_col, "left_semi")
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(column.to_pylist() for column in batch.columns))
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[4] or b"") if schema.names[4] == "block" else 0
+        if len(held) == 1024 or size >= PIECE:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+
+_FIELDS = [("chunk", pa.int64()), ("kind", pa.int32()), ("place", pa.int32()), ("n", pa.int32()), ("block", pa.binary())]
+
 
+def _blocks(chunk: int, kind: int, counts: Counts, space: int, ranges: int) -> Iterator[tuple]:
+    for place, n, block in _rows(blocks(counts, space, ranges)):
+        yield chunk, kind, place, n, block
 
-def fitted(rows: DataFrame, target: DataFrame, shape: Shape) -> Models:
-    """Both models, from all of ``rows`` (doc_id, text); the target is the rows with an id in ``target``."""
-    scratch, spark, written = Scratch("crossentropy"), rows.sparkSession, []
 
-    def stored(table: DataFrame, name: str) -> DataFrame:
-        out, path = scratch.located(table, name)
-        written.append(path)
-        return out
+def _starts(lengths: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+
+def _texts(chunk: int, ids: np.ndarray, lengths: list[int], *more: list) -> Iterator[tuple]:
+    data, at = ids.astype("<u4").tobytes(), 4 * _starts(lengths)
+    for k, n in enumerate(lengths):
+        yield chunk, TEXT, k, n, data[at[k] : at[k + 1]], *(column[k] for column in more)
+
+
+def _numbers_of(rows: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join(row[4] for row in rows), "<u4").astype(np.int64)
+
+
+def chunked(limit: int):
+    """Rows (id, text) as chunks: each text as places in the chunk's sorted distinct hashes, and these with their counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        chunk = TaskContext.get().partitionId() << 32
+        hashes, lengths, ids, words = [], [], [], 0
+        for batch in batches:
+            last = -1
+            for a, data, offsets in cuts(*utf8(batch.column(1))):
+                if a != last and words + len(lengths) >= limit:
+                    yield from chunk_of(chunk, hashes, lengths, ids)
+                    chunk, hashes, lengths, ids, words = chunk + 1, [], [], [], 0
+                found, first = word_hashes(data, offsets)
+                if a == last:  # the next part of a text longer than a piece
+                    lengths[-1] += len(found)
+                else:
+                    lengths += np.diff(first).tolist()
+                    ids += batch.column(0).slice(a, len(offsets) - 1).to_pylist()
+                last = a
+                hashes.append(found)
+                words += len(found)
+        if lengths:
+            yield from chunk_of(chunk, hashes, lengths, ids)
+
+    def chunk_of(chunk: int, hashes: list[np.ndarray], lengths: list[int], ids: list) -> Iterator[tuple]:
+        words, at, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        for row in _blocks(chunk, WORD, (words, n, np.zeros(len(n), np.int64)), HASHES, WORD_RANGES):
+            yield *row, None
+        yield from _texts(chunk, at, lengths, ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in cuts(*utf8(batch.column(0))):
-                yield word_hashes(data, offsets)[0]
+            schema = pa.schema([*_FIELDS, ("doc_id", batch.schema.field(0).type)])
+            yield from _batches(rows(chain([batch], batches)), schema)
 
-    space = 1 << 64
-    found = stored(totals(count_table(rows.select("text"), words, space), space), "words")
-    shared = spark.sparkContext.broadcast(most_frequent(found, shape.words)[0])
-    size = len(shared.value) + KNOWN
+    return run
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+
+def numbering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range of hashes: the place of every chunk's words among those that occur twice, plus 1; 0 for others."""
+
+    def rows() -> Iterator[tuple]:
+        for place, sent in groupby(_rows(batches), itemgetter(2)):
+            sent = list(sent)
+            found = summed(unpack(block, n) for *_, n, block in sent)
+            known = twice(found)[0]
+            yield WHOLE, COUNT, place, len(known), None
+            for chunk, _, _, n, block in sent:
+                keys = unpack(block, n)[0]
+                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                at = np.where(known[at] == keys, at + 1, 0) if len(known) else np.zeros(n, np.int64)
+                yield chunk, WORD, place, n, at.astype("<u4").tobytes()
+
+    yield from _batches(rows(), pa.schema(_FIELDS))
+
+
+def paired(starts: np.ndarray, grid: Grid):
+    """For each chunk: its words' and pairs' counts by number, its texts as places in its sorted numbers.
+
+    ``starts`` are the vocabulary's words before each range of hashes.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for chunk, sent in groupby(_rows(batches), itemgetter(0)):
+            of = {kind: list(x) for kind, x in groupby(sent, itemgetter(1))}
+            texts, replies = of[TEXT], of.get(WORD, [])
+            at, n = _numbers_of(replies), [row[3] for row in replies]
+            start = np.repeat(starts[[row[2] for row in replies]] if replies else starts[:0], n)
+            numbers = np.where(at > 0, start + at - 1 + KNOWN, UNKNOWN)
+            numbers, place = np.unique(np.concatenate([[BEGIN, UNKNOWN], numbers]), return_inverse=True)
+            ids = place[2:][_numbers_of(texts)]
+            lengths = [row[3] for row in texts]
+            first = _starts(lengths)
+            flags = np.zeros(len(texts), bool)
+            flags[[row[2] for row in of.get(MARK, [])]] = True
+            good = np.repeat(flags, lengths).astype(np.int64)
+            before, after = grid.parts(numbers)
+            keys = before[contexts(ids, first)] + after[ids]
+            word = (numbers.astype(np.uint64), *(np.bincount(ids, n, len(numbers)).astype(np.int64) for n in (None, good)))
+            for row in _blocks(chunk, PAIR, added([(keys, np.ones(len(keys), np.int64), good)]), grid.space, grid.side**2):
+                yield *row, None, None
+            for row in _blocks(chunk, WORD, word, grid.size, WORD_RANGES):
+                yield *row, None, None
+            for place, n in enumerate((len(ids), good.sum(), word[1][UNKNOWN], word[2][UNKNOWN])):
+                yield chunk, COUNT, place, int(n), None, None, None
+            yield from _texts(chunk, ids, lengths, [row[5] for row in texts], flags.tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([*_FIELDS, ("doc_id", batch.schema.field(5).type), ("in_target", pa.bool_())])
+            yield from _batches(rows(chain([batch], batches)), schema)
+
+    return run
+
+
+def pair_replies(totals: Totals):
+    """For each range of pairs: the counts of each chunk's pairs that occur twice, and sums by context."""
+    grid = totals.grid
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for place, sent in groupby(_rows(batches), itemgetter(2)):
+            sent = list(sent)
+            keys, corpus, target = twice(summed(unpack(block, n) for *_, n, block in sent))
+            context, word = grid.words(keys)
+            thin = thinned(corpus, context * np.uint64(grid.size) + word, totals.share).astype(np.int64)
+            yield from _blocks(WHOLE, CONTEXT, added([(context, thin, target)]), grid.size, WORD_RANGES)
+            for chunk, _, _, n, block in sent:
+                asked = unpack(block, n)[0]
+                at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+                at = at[keys[at] == asked] if len(keys) else at[:0]
+                if len(at):
+                    yield chunk, PAIR, place, len(at), pack((keys[at], corpus[at], target[at]))
+
+    return lambda batches: _batches(rows(batches), pa.schema(_FIELDS))
+
+
+def word_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range of word numbers: the counts of each chunk's words as words and as contexts."""
+
+    def rows() -> Iterator[tuple]:
+        for place, sent in groupby(_rows(batches), itemgetter(2)):
+            of = {kind: list(x) for kind, x in groupby(sent, itemgetter(1))}
+            asking = of.get(WORD, [])
+            for kind in (CONTEXT, WORD):
+                found = summed(unpack(block, n) for *_, n, block in of.get(kind, []))
+                found = twice(found) if kind == WORD else found
+                for chunk, _, _, n, block in asking:
+                    asked = unpack(block, n)[0]
+                    at = np.minimum(np.searchsorted(found[0], asked), max(len(found[0]) - 1, 0))
+                    hit = found[0][at] == asked if len(found[0]) else np.zeros(n, bool)
+                    counts = (np.where(hit, x[at], 0) if len(x) else np.zeros(n, np.int64) for x in found[1:])
+                    yield chunk, kind, place, n, pack((asked, *counts))
+
+    yield from _batches(rows(), pa.schema(_FIELDS))
+
+
+def scored(totals: Totals, shape: Shape):
+    """For each chunk: both losses of its texts, from the totals of its words and pairs."""
+
+    def part(rows: list[tuple]) -> Counts:
+        return tuple(np.concatenate(x) for x in zip(*(unpack(row[4], row[3]) for row in rows)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, sent in groupby(_rows(batches), itemgetter(0)):
+            of = {kind: list(x) for kind, x in groupby(sent, itemgetter(1))}
+            context, word, pair = part(of[CONTEXT]), part(of[WORD]), part(of[PAIR]) if PAIR in of else added([])
+            models = Models(word[0].astype(np.int64), pair[0], pair[1:], context[1:], word[1:], totals, shape)
+            lengths, flags = [row[3] for row in of[TEXT]], [row[6] for row in of[TEXT]]
+            found = models.losses(_numbers_of(of[TEXT]), _starts(lengths), np.array(flags))
+            for row, inside, background in zip(of[TEXT], *(x.tolist() for x in found)):
+                yield row[5], row[3], row[6], *((inside, background) if row[3] else (None, None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, ids, first in numbered(batch.column(0), shared.value):
-                yield np.concatenate([contexts(ids, first) * size + ids, size * size + ids]).astype(np.uint64)
-
-    space = size * size + size
-    both = count_table(rows.select("text"), pairs, space).unionAll(
-        count_table(of_ids(rows, target, "doc_id").select("text"), pairs, space, second=True)
-    )
-    found = stored(totals(both, space), "pairs")
-    models = Models.of(shared.value, most_frequent(found, shape.pairs, always=size * size), shape)
+            fields = [("doc_id", batch.schema.field(5).type), ("n_words", pa.int64()), ("in_target", pa.bool_())]
+            fields += [("target_loss", pa.float64()), ("background_loss", pa.float64())]
+            yield from _batches(rows(chain([batch], batches)), pa.schema(fields))
+
+    return run
+
+
+def _dealt(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    return rows.repartition(by).sortWithinPartitions(by, *order)
+
+
+def fitted(rows: DataFrame, target: DataFrame, chunk: int) -> tuple[DataFrame, Totals]:
+    """Both models, from all of ``rows`` (doc_id, text); the target is the rows with an id in ``target``.
+
+    Returned are the chunks' texts with the counts of all their words and pairs that occur twice.
+    """
+    scratch, spark, kind = Scratch("crossentropy"), rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
+    texts, path = scratch.located(rows.mapInArrow(chunked(chunk), f"{ROW}, doc_id {kind}"), "chunks")
+    written = [path]
+    words = texts.filter(F.col("kind") == WORD).drop("doc_id")
+    words, path = scratch.located(_dealt(words, "place").mapInArrow(numbering, ROW), "words")
+    written.append(path)
+    known = np.zeros(WORD_RANGES + 1, np.int64)
+    for row in words.filter(F.col("chunk") == WHOLE).collect():
+        known[row["place"] + 1] = row["n"]
+    starts = np.cumsum(known)
+    texts = texts.filter(F.col("kind") == TEXT)
+    chunks = texts.filter("place = 0").count()
+    grid = Grid(int(starts[-1]) + KNOWN, max(SIDE, int((chunks / 8) ** 0.5)))
+
+    marks = texts.select("chunk", "place", "doc_id").join(target.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    marks = marks.select("chunk", F.lit(MARK).alias("kind"), "place")
+    sent = words.filter(F.col("chunk") != WHOLE)
+    sent = sent.unionByName(marks, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)
+    sent = _dealt(sent, "chunk", "kind", "place")
+    sent, _ = scratch.located(sent.mapInArrow(paired(starts, grid), f"{ROW}, doc_id {kind}, in_target boolean"), "pairs")
     for path in written:
         drop(spark, path)
-    return models
+    counts = dict(sent.filter(F.col("kind") == COUNT).groupBy("place").agg(F.sum("n")).collect())
+    alone = [counts.get(k, 0) if counts.get(_ALL_UNKNOWN) == 1 else 0 for k in (_ALL_UNKNOWN, _TARGET_UNKNOWN)]
+    totals = Totals(grid, counts.get(_ALL, 0) - alone[0], counts.get(_TARGET, 0) - alone[1])
+
+    plain = sent.drop("doc_id", "in_target")
+    pairs = _dealt(plain.filter(F.col("kind") == PAIR), "place").mapInArrow(pair_replies(totals), ROW)
+    pairs, _ = scratch.located(pairs, "replies")
+    by_word = pairs.filter(F.col("kind") == CONTEXT).unionAll(plain.filter(F.col("kind") == WORD))
+    by_word = _dealt(by_word, "place", "kind").mapInArrow(word_replies, ROW)
+    replies = by_word.unionAll(pairs.filter(F.col("kind") == PAIR))
+    return replies.unionByName(sent.filter(F.col("kind") == TEXT), allowMissingColumns=True), totals
 
 
 def cross_entropy_difference(
@@ -241,27 +490,9 @@ def cross_entropy_difference(
     result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = target.select(F.col(id_col).alias("doc_id"))
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(rows, ids, shape))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for base, words, first in numbered(batch.column(1), shared.value.vocabulary):
-                n = np.diff(first)
-                found = shared.value.losses(words, first)
-                columns = [pa.array(x, pa.float64(), mask=n == 0) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(base, len(n)), pa.array(n, pa.int64()), *columns],
-                    ["doc_id", "n_words", "outside", "inside", "background_loss"],
-                )
-
+    ids = target.select(F.col(id_col).alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    parts, totals = fitted(rows, ids, shape.chunk)
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"doc_id {kind}, n_words bigint, outside double, inside double, background_loss double")
-    flags = ids.filter("doc_id IS NOT NULL").distinct().withColumn("in_target", F.lit(True))
-    loss = F.when(F.col("in_target"), F.col("inside")).otherwise(F.col("outside"))
-    return (
-        scored.join(flags, "doc_id", "left")
-        .withColumns({"in_target": F.coalesce("in_target", F.lit(False)), "target_loss": loss})
-        .withColumn("score", F.col("target_loss") - F.col("background_loss"))
-        .select("doc_id", "n_words", "in_target", "target_loss", "background_loss", "score")
-    )
+    losses = f"doc_id {kind}, n_words bigint, in_target boolean, target_loss double, background_loss double"
+    found = _dealt(parts, "chunk", "kind", "place").mapInArrow(scored(totals, shape), losses)
+    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -7,7 +7,9 @@ are then added one after another, so memory holds the distinct keys of one range
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +51,11 @@ def unpack(block: bytes, n: int) -> Counts:
     return np.cumsum(step, dtype=np.uint64), a.astype(np.int64), b.astype(np.int64)
 
 
-def blocks(counts: Counts, space: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows of sorted counts whose keys lie below ``space``, cut into ``RANGES`` ranges."""
+def blocks(counts: Counts, space: int, ranges: int = RANGES) -> Iterator[pa.RecordBatch]:
+    """Packed rows of sorted counts whose keys lie below ``space``, cut into ``ranges`` ranges."""
     if not len(counts[0]):
         return
-    place = (counts[0] // np.uint64(max(1, -(-space // RANGES)))).astype(np.int64)
+    place = (counts[0] // np.uint64(max(1, -(-space // ranges)))).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
     for k in range(0, len(cut) - 1, 256):
         spans = list(zip(cut[k : k + 256], cut[k + 1 : k + 257]))
@@ -88,22 +90,26 @@ def totals(found: DataFrame, space: int) -> DataFrame:
     """One block for each range, of the sums of all blocks; keys whose first count is below 2 are left out."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, fresh, held = None, [], 0, 0
-        for place, n, block in _rows(batches):
-            if place != at:
-                yield from blocks(_twice(added(parts)), space)
-                at, parts, fresh, held = place, [], 0, 0
-            parts.append(unpack(block, n))
-            fresh += n
-            if fresh >= max(PENDING, held):
-                parts = [added(parts)]
-                fresh, held = 0, len(parts[0][0])
-        yield from blocks(_twice(added(parts)), space)
+        for _, rows in groupby(_rows(batches), itemgetter(0)):
+            yield from blocks(twice(summed(unpack(block, n) for _, n, block in rows)), space)
 
     return found.repartition("place").sortWithinPartitions("place").mapInArrow(total, BLOCK)
 
 
-def _twice(counts: Counts) -> Counts:
+def summed(parts: Iterable[Counts]) -> Counts:
+    """The sum of many counts, added up whenever as many rows have come as it holds."""
+    waiting, fresh, held = [], 0, 0
+    for part in parts:
+        waiting.append(part)
+        fresh += len(part[0])
+        if fresh >= max(PENDING, held):
+            waiting = [added(waiting)]
+            fresh, held = 0, len(waiting[0][0])
+    return added(waiting)
+
+
+def twice(counts: Counts) -> Counts:
+    """Without the keys whose first count is below 2."""
     keep = counts[1] > 1
     return tuple(x[keep] for x in counts)
 

@@ -88,6 +88,37 @@ def test_losses_match_plain_counts(spark):
             assert r["score"] is None or abs(r["score"] - (r["target_loss"] - r["background_loss"])) < 1e-9
 
 
+@pytest.mark.parametrize("chunk", [1, 12, 60])
+def test_losses_do_not_depend_on_chunks(spark, chunk):
+    texts = one_distribution(40, 12, 3) + ["", None, "w1", "w0 w0 w0 w0 unseen"]
+    target = list(range(0, len(texts), 3))
+    rows = cross_entropy_difference(docs_of(spark, texts).coalesce(2), ids(spark, target), shape=Shape(chunk=chunk))
+    for r, want in zip(rows.orderBy("doc_id").collect(), brute(texts, target, Shape()), strict=True):
+        assert r["in_target"] == (r["doc_id"] in target)
+        for x, y in zip((r["target_loss"], r["background_loss"]), want):
+            assert (x is None and y is None) or abs(x - y) < 1e-9
+
+
+def test_words_and_pairs_have_no_bound(spark):
+    """140,000 words and as many pairs, each in two documents: none is the more frequent, none may be left out."""
+    length, n, good = 500, 280, 20
+    texts = [" ".join(f"w{k}" for k in range(i * length, (i + 1) * length)) for i in range(n)] * 2
+    target = [*range(good), *range(n, n + good)]
+    rows = cross_entropy_difference(docs_of(spark, texts), ids(spark, target)).collect()
+    shape, base = Shape(), 3 / (2 * n * length + n * length + ce.KNOWN)
+
+    def loss(pair, first, word, others):
+        share = (word + shape.word_weight * base) / (others + shape.word_weight)
+        each = [-math.log((pair + shape.pair_weight * share) / (h + shape.pair_weight)) for h in (first, pair)]
+        return (each[0] + (length - 1) * each[1]) / length
+
+    inside = loss(1, 2 * good - 1, 1, (2 * good - 1) * length)
+    outside = loss(0, 2 * good, 0, 2 * good * length)
+    assert len(rows) == 2 * n
+    for r in rows:
+        assert abs(r["target_loss"] - (inside if r["in_target"] else outside)) < 1e-9
+
+
 def one_distribution(n, length, seed):
     rng = np.random.default_rng(seed)
     chance = 1 / np.arange(1, 801)
