@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsight.llm.packed_counts import Counts, added, blocks, pack, summed, twice, unpack
+from keepsight.llm.packed_counts import Counts, added, blocks, none, pack, summed, twice, unpack
 from keepsight.llm.storage import Scratch, drop
 from keepsight.llm.words import PIECE, cuts, mix, utf8, word_hashes
 
@@ -169,11 +169,11 @@ class Models:
     """Both models as far as a chunk's documents touch them.
 
     ``numbers`` are the sorted numbers of its words, which its texts name by their place there;
-    ``pair`` holds the counts of sorted grid ``keys``, ``context`` and ``word`` those by place.
+    ``pair`` holds the counts of its pairs in the order of their grid keys, 0 for a pair that
+    occurs once, ``context`` and ``word`` those by place.
     """
 
     numbers: np.ndarray
-    keys: np.ndarray
     pair: tuple[np.ndarray, np.ndarray]  # corpus, target
     context: tuple[np.ndarray, np.ndarray]  # corpus (thinned), target
     word: tuple[np.ndarray, np.ndarray]
@@ -192,11 +192,11 @@ class Models:
         context, word = key // places, key % places
         before, after = self.totals.grid.parts(self.numbers)
         key = before[context] + after[word]
-        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        kept = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+        _, at = np.unique(key, return_inverse=True)
+        corpus, target = (n[at] for n in self.pair)
+        kept = corpus > 0
         of_context = _sums(text * places + context, np.where(kept, own, 0))
         of_word = _sums(text * places + word, own)
-        corpus, target = (np.where(kept, n[at], 0) if len(self.keys) else np.zeros(len(key), np.int64) for n in self.pair)
         number = self.numbers[word]
         key = self.numbers[context] * size + number
         base = ((self.word[0] + 1) / (total[0] + size))[word]
@@ -263,13 +263,22 @@ def _starts(lengths: list[int]) -> np.ndarray:
 
 
 def _texts(chunk: int, ids: np.ndarray, lengths: list[int], *more: list) -> Iterator[tuple]:
-    data, at = ids.astype("<u4").tobytes(), 4 * _starts(lengths)
+    at = _starts(lengths)
     for k, n in enumerate(lengths):
-        yield chunk, TEXT, k, n, data[at[k] : at[k + 1]], *(column[k] for column in more)
+        yield chunk, TEXT, k, n, _packed(ids[at[k] : at[k + 1]]), *(column[k] for column in more)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return pa.Codec("zstd").compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
 
 
 def _numbers_of(rows: list[tuple]) -> np.ndarray:
-    return np.frombuffer(b"".join(row[4] for row in rows), "<u4").astype(np.int64)
+    """The numbers of the rows' blocks, one after another."""
+    codec, out = pa.Codec("zstd"), [np.zeros(0, np.int64)]
+    for row in rows:
+        raw = codec.decompress(row[4], decompressed_size=4 * row[3], asbytes=True)
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel())
+    return np.concatenate(out).astype(np.int64)
 
 
 def chunked(limit: int):
@@ -323,7 +332,7 @@ def numbering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = unpack(block, n)[0]
                 at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
                 at = np.where(known[at] == keys, at + 1, 0) if len(known) else np.zeros(n, np.int64)
-                yield chunk, WORD, place, n, at.astype("<u4").tobytes()
+                yield chunk, WORD, place, n, _packed(at)
 
     yield from _batches(rows(), pa.schema(_FIELDS))
 
@@ -367,8 +376,17 @@ def paired(starts: np.ndarray, grid: Grid):
     return run
 
 
+def _of(counts: Counts, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both counts of each of ``keys``, 0 if there are none."""
+    if not len(counts[0]):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(counts[0], keys), len(counts[0]) - 1)
+    hit = counts[0][at] == keys
+    return np.where(hit, counts[1][at], 0), np.where(hit, counts[2][at], 0)
+
+
 def pair_replies(totals: Totals):
-    """For each range of pairs: the counts of each chunk's pairs that occur twice, and sums by context."""
+    """For each range of pairs: the counts of each chunk's pairs in their order, 0 if they occur once, and sums by context."""
     grid = totals.grid
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -379,11 +397,7 @@ def pair_replies(totals: Totals):
             thin = thinned(corpus, context * np.uint64(grid.size) + word, totals.share).astype(np.int64)
             yield from _blocks(WHOLE, CONTEXT, added([(context, thin, target)]), grid.size, WORD_RANGES)
             for chunk, _, _, n, block in sent:
-                asked = unpack(block, n)[0]
-                at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-                at = at[keys[at] == asked] if len(keys) else at[:0]
-                if len(at):
-                    yield chunk, PAIR, place, len(at), pack((keys[at], corpus[at], target[at]))
+                yield chunk, PAIR, place, n, pack((np.zeros(n, np.uint64), *_of((keys, corpus, target), unpack(block, n)[0])))
 
     return lambda batches: _batches(rows(batches), pa.schema(_FIELDS))
 
@@ -400,10 +414,7 @@ def word_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = twice(found) if kind == WORD else found
                 for chunk, _, _, n, block in asking:
                     asked = unpack(block, n)[0]
-                    at = np.minimum(np.searchsorted(found[0], asked), max(len(found[0]) - 1, 0))
-                    hit = found[0][at] == asked if len(found[0]) else np.zeros(n, bool)
-                    counts = (np.where(hit, x[at], 0) if len(x) else np.zeros(n, np.int64) for x in found[1:])
-                    yield chunk, kind, place, n, pack((asked, *counts))
+                    yield chunk, kind, place, n, pack((asked, *_of(found, asked)))
 
     yield from _batches(rows(), pa.schema(_FIELDS))
 
@@ -412,13 +423,13 @@ def scored(totals: Totals, shape: Shape):
     """For each chunk: both losses of its texts, from the totals of its words and pairs."""
 
     def part(rows: list[tuple]) -> Counts:
-        return tuple(np.concatenate(x) for x in zip(*(unpack(row[4], row[3]) for row in rows)))
+        return tuple(np.concatenate(x) for x in zip(none(), *(unpack(row[4], row[3]) for row in rows)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for _, sent in groupby(_rows(batches), itemgetter(0)):
             of = {kind: list(x) for kind, x in groupby(sent, itemgetter(1))}
-            context, word, pair = part(of[CONTEXT]), part(of[WORD]), part(of[PAIR]) if PAIR in of else added([])
-            models = Models(word[0].astype(np.int64), pair[0], pair[1:], context[1:], word[1:], totals, shape)
+            context, word, pair = (part(of.get(kind, [])) for kind in (CONTEXT, WORD, PAIR))
+            models = Models(word[0].astype(np.int64), pair[1:], context[1:], word[1:], totals, shape)
             lengths, flags = [row[3] for row in of[TEXT]], [row[6] for row in of[TEXT]]
             found = models.losses(_numbers_of(of[TEXT]), _starts(lengths), np.array(flags))
             for row, inside, background in zip(of[TEXT], *(x.tolist() for x in found)):
